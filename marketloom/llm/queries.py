@@ -12,6 +12,8 @@ from .common import prepared
 #: query name -> module with ``query(spark, sf_dir)`` and, where SQL can say the same, ``SQL``.
 MODULES = {
     "op1_quality_rules": "quality",
+    "op3_exact_dedup": "exact",
+    "op4_language_id": "langid",
     "op8_secret_scan": "secrets",
 }
 
