@@ -15,6 +15,7 @@ MODULES = {
     "op3_exact_dedup": "exact",
     "op4_language_id": "langid",
     "op6_token_counts": "counts",
+    "op7_id_files": "idfile",
     "op8_secret_scan": "secrets",
 }
 
