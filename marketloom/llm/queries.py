@@ -14,6 +14,7 @@ MODULES = {
     "op1_quality_rules": "quality",
     "op3_exact_dedup": "exact",
     "op4_language_id": "langid",
+    "op5_byte_bpe": "bpe",
     "op6_token_counts": "counts",
     "op7_id_files": "idfile",
     "op8_secret_scan": "secrets",
