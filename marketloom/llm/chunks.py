@@ -17,7 +17,7 @@ import numpy as np
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: A worker remembers at most so many distinct chunks and so many of their characters, and one batch's more.
-MEMORY, MEMORY_CHARS = 1 << 20, 1 << 24
+MEMORY, MEMORY_CHARS = 1 << 21, 1 << 25
 
 
 class ChunkEncoder:
@@ -52,10 +52,13 @@ class ChunkEncoder:
         each = [SAFE.split(t) for t in texts]
         heads = [x[0] for x in each]
         self._learn(self.heads, "", set(heads) - self.heads.keys())
-        self._learn(self.tails, " ", set(chain.from_iterable(x[1:] for x in each)) - self.tails.keys())
         per = np.fromiter(map(len, each), np.int64, len(each))
-        number = np.fromiter(map(self.tails.get, chain.from_iterable(each), repeat(0)), np.int64, int(per.sum()))
+        flat = list(chain.from_iterable(each))
+        number = np.fromiter(map(self.tails.get, flat, repeat(-1)), np.int64, len(flat))
         number[np.cumsum(per) - per] = list(map(self.heads.__getitem__, heads))
+        missed = np.flatnonzero(number < 0).tolist()
+        self._learn(self.tails, " ", {flat[i] for i in missed})
+        number[missed] = [self.tails[flat[i]] for i in missed]
         return number, per
 
     def lengths(self, texts: list[str]) -> np.ndarray:

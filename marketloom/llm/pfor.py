@@ -17,6 +17,29 @@ PERCENTILE = 90
 MAGIC = b"PFR1"
 
 
+def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """(blocks, 16 * width) bytes: the low bits of each block's values in little-endian order."""
+    low = np.ascontiguousarray(values.T).astype(np.uint64) & np.uint64((1 << width) - 1)
+    words = np.zeros((2 * width, values.shape[0]), "<u8")
+    for i in range(BLOCK):
+        word, shift = divmod(i * width, 64)
+        words[word] |= low[i] << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= low[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).view(np.uint8)
+
+
+def _unpack_bits(packed: np.ndarray, width: int) -> np.ndarray:
+    words = np.ascontiguousarray(np.ascontiguousarray(packed).view("<u8").T)
+    out = np.empty((BLOCK, packed.shape[0]), np.uint64)
+    for i in range(BLOCK):
+        word, shift = divmod(i * width, 64)
+        out[i] = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            out[i] |= words[word + 1] << np.uint64(64 - shift)
+    return (out & np.uint64((1 << width) - 1)).astype(np.uint32).T
+
+
 def pack(values: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     n = len(values)
     blocks = -(-n // BLOCK)
@@ -38,8 +61,7 @@ def pack(values: np.ndarray, percentile: int = PERCENTILE) -> bytes:
         if not w:
             continue
         own = np.flatnonzero(width == w)
-        bits = np.unpackbits(gaps[own].astype("<u4").view(np.uint8).reshape(len(own), BLOCK, 4), axis=2, count=int(w), bitorder="little")
-        packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
+        packed = _pack_bits(gaps[own], int(w))
         payload[start[own][:, None] + np.arange(packed.shape[1])] = packed
     head = [np.array([n, blocks], "<u4"), least.astype("<u4"), width.astype(np.uint8), wide.sum(1).astype(np.uint8), start.astype("<u4")]
     return MAGIC + b"".join(x.tobytes() for x in [*head, payload, place.astype(np.uint8), highs])
@@ -71,10 +93,7 @@ def unpack(data: bytes, first: int = 0, end: int | None = None) -> np.ndarray:
             continue
         own = np.flatnonzero(width[a:b] == w)
         packed = payload[start[a:b][own][:, None] + np.arange(BLOCK // 8 * w)]
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
-        whole = np.zeros((len(own), BLOCK, 32), np.uint8)
-        whole[:, :, : int(w)] = bits
-        out[own] = np.packbits(whole, axis=2, bitorder="little").view("<u4")[:, :, 0]
+        out[own] = _unpack_bits(packed, int(w))
     block_of = np.repeat(np.arange(blocks), patched)
     inside = (block_of >= a) & (block_of < b)
     out[block_of[inside] - a, places[inside]] |= highs[inside] << width[block_of[inside]].astype(np.uint32)
