@@ -18,6 +18,7 @@ MODULES = {
     "op6_token_counts": "counts",
     "op7_id_files": "idfile",
     "op8_secret_scan": "secrets",
+    "op9_near_duplicates": "neardup",
 }
 
 
