@@ -54,7 +54,7 @@ def _messages(owners: int):
         for o in np.unique(owner):
             a, b = cuts[o], cuts[o + 1]
             # The lower end of an owner's range is known to it, so codes count from there.
-            k, code = golomb.encode(fp[a:b] - np.uint64(_low(int(o), owners)))
+            k, code = golomb.encode(fp[a:b] - np.uint64(low_of(int(o), owners)))
             sure = [given[j] for i in np.flatnonzero(times[a:b] > 1) + a for j in range(first[i], first[i] + times[i])]
             rows.append((TaskContext.get().partitionId() << 20 | round_no, int(o), int(b - a), k, code, ids[a:b], sure))
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), MESSAGES)], schema=MESSAGES)
@@ -73,7 +73,7 @@ def _messages(owners: int):
     return run
 
 
-def _low(owner: int, owners: int) -> int:
+def low_of(owner: int, owners: int) -> int:
     """The least fingerprint whose high half is dealt to this owner."""
     return -(-(owner << 32) // owners) << 32
 

@@ -19,6 +19,7 @@ MODULES = {
     "op7_id_files": "idfile",
     "op8_secret_scan": "secrets",
     "op9_near_duplicates": "neardup",
+    "op10_suffix_dedup": "repeats",
 }
 
 
