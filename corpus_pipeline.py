@@ -1,26 +1,64 @@
-"""A corpus from raw documents to token ids, in stages that each keep the documents' columns but the last."""
+"""A corpus from raw documents to token ids: five stages, each over all that the one before kept.
+
+Every stage but the last returns the columns of ``documents``; a stage's result is a Parquet table in the shared
+folder, which the next one reads.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marketloom.llm import common, quality
+from marketloom.llm import bpe, common, exact, mixing, neardup, quality
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current quality policy."""
+    """Documents that pass the current quality policy; those that it rejects go."""
+    common.prepared(spark)
     return quality.quality_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id stays."""
+    common.prepared(spark)
+    return exact.drop_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by shingles of five words and a similarity of 0.8, the least doc_id stays."""
+    common.prepared(spark)
+    return neardup.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics come near their tempered shares."""
+    common.prepared(spark)
+    return mixing.sample(docs)
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and the token ids of the text, with their number and the digests of ids and decoded bytes."""
+    common.prepared(spark)
+    return bpe.digests(docs, RANKS, ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("encode_bytes", encode_bytes),
+]
 
+#: Near-duplicate links by minhash and byte-pair merges have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    spark = common.prepared(spark)
-    docs = common.documents(spark, sf_dir)
+    """All stages over ``documents``."""
+    docs = common.documents(common.prepared(spark), sf_dir)
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

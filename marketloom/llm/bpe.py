@@ -101,6 +101,7 @@ class _Block:
 
     def close(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words by number, all places, and the words of each document; numbers by frequency, then by word."""
+        self.coder = None  # its memory goes before the sort
         places = np.concatenate(self.places) if self.places else np.zeros(0, np.uint32)
         words = [w.encode("utf-8", "surrogatepass") for w in self.words]
         often = np.bincount(places, minlength=len(words))
@@ -265,10 +266,11 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
     return encoded.mapInArrow(_decode(ranks), f"{schema}, decoded binary")
 
 
-def digests(docs: DataFrame, ranks: str) -> DataFrame:
+def digests(docs: DataFrame, ranks: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to; the ids as well if wanted."""
     both = decode(encode(docs, ranks), ranks)
     return both.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *["ids"] * ids, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
