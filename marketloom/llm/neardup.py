@@ -6,9 +6,10 @@ banding would compute 264. Two documents of similarity 0.8 meet in at least one
 
 Documents with equal shingle sets are one class from the start, whatever their number. Within a
 bucket nobody is paired with everybody: each member is a candidate of the bucket's pivot, and every
-table has another pivot. Candidates are confirmed in rounds, the ones that share most tables first, and
-only where both ends are not yet connected. What then still shares a bucket across components is
-confirmed pair by pair, in the same rounds, so no link between different sets is left out.
+table has another pivot. Two rounds confirm the candidates that share most tables, where both ends are not yet
+connected. Buckets that still hold several components are then compared exactly, so no link between different
+sets is left out: families of such buckets of at most FAMILY sets go to one task each, where one matrix product counts all
+intersections; larger ones go bucket by bucket, and buckets above that size in pairs of blocks.
 
 Cases: texts without words link with nothing and are their own component; rows that share a doc_id are
 one document of the graph with the sets of both; a row without doc_id takes the component of an equal
@@ -33,6 +34,8 @@ from .shingles import minhashes, mixed, shingle_sets
 SHINGLE, THRESHOLD = 5, 80
 COLLECTIONS, WIDTH = 12, 2
 SEEDS = mixed(np.arange(1000, 1000 + COLLECTIONS * WIDTH, dtype=np.uint64))
+#: Sets that one task compares with each other, and shingles of one matrix product.
+FAMILY, COLUMNS = 4096, 2048
 SIGNED = "doc_id long, n_shingles long, same binary, hashes array<long>"
 
 
@@ -101,23 +104,71 @@ class _Graph:
         fresh = new.join(self.labels.select("v"), "v", "left_anti")
         self.labels = stored(moved.union(fresh), "components")
 
-    def settle(self, pairs: DataFrame) -> None:
-        """Confirm pairs (a, b, weight) until none is left whose ends are in different components.
-
-        Each round takes the heaviest few of every a, twice as many as the round before; what it confirms
-        makes most of the others needless.
-        """
-        few = 1
+    def settle(self, pairs: DataFrame, rounds: tuple[int, ...] = (1, 4)) -> None:
+        """Confirm pairs (a, b, weight): in each round the so many heaviest of every a that cross components."""
         left = stored(self.crossing(pairs).select("a", "b", "weight"), "left")
-        while not left.isEmpty():
+        for few in rounds:
             rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("weight"), "b"))
             chosen = left.withColumn("rank", rank).filter(F.col("rank") <= few).select("a", "b")
             links = stored(confirmed(chosen, self.sets, self.threshold), "links")
             if not links.isEmpty():
                 self.add(links)
-            rest = left.join(chosen, ["a", "b"], "left_anti")
-            left = stored(self.crossing(rest).select("a", "b", "weight"), "left")
-            few = min(64, 2 * few)
+            left = self.crossing(left.join(chosen, ["a", "b"], "left_anti")).select("a", "b", "weight")
+
+
+def _linked(threshold: int):
+    """Rows (group, v, c, s) come sorted by group. Links that connect the components c of a group, at most one a member."""
+
+    def links(vs: list[int], cs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
+        if len(set(cs)) < 2:
+            return None
+        m, sizes = len(vs), np.array([len(s) for s in sets])
+        _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1
+        keep = times[inverse] > 1
+        row, col = np.repeat(np.arange(m), sizes)[keep], shared[inverse[keep]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((m, m), np.float32)
+        for start in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+            a, b = np.searchsorted(col, (start, start + COLUMNS))
+            block = np.zeros((m, COLUMNS), np.float32)
+            block[row[a:b], col[a:b] - start] = 1
+            both += block @ block.T
+        c = np.array(cs)
+        i, j = np.nonzero(np.triu((100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)) & (c[:, None] != c[None, :]), 1))
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        found = []
+        for x, y in zip(i.tolist(), j.tolist()):
+            p, q = top(cs[x]), top(cs[y])
+            if p != q:
+                above[max(p, q)] = min(p, q)
+                found.append((vs[x], vs[y]))
+        return pa.record_batch([pa.array(list(x), pa.int64()) for x in zip(*found)], names=["a", "b"]) if found else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, ([], [], [])
+        for batch in batches:
+            s = column(batch, "s")
+            at, flat = s.offsets.to_numpy(), s.values.to_numpy()
+            for k, (g, v, c) in enumerate(zip(*(column(batch, n).to_pylist() for n in ("group", "v", "c")))):
+                if g != group:
+                    if held[0] and (out := links(*held)):
+                        yield out
+                    group, held = g, ([], [], [])
+                held[0].append(v)
+                held[1].append(c)
+                held[2].append(flat[at[k] : at[k + 1]].copy())
+        if held[0] and (out := links(*held)):
+            yield out
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -144,7 +195,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     sets = stored(texts.mapInArrow(_sets(shingle), "v long, s array<long>").groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s")), "sets")
     graph = _Graph(docs.sparkSession, sets, threshold)
     graph.settle(pairs)
-    graph.settle(_rest(graph, members, threshold))
+    links = stored(_rest(graph, members), "links")
+    if not links.isEmpty():
+        graph.add(links)
     label = graph.labels.select("v", "label")
     found = classes.join(label, "v", "left").select("same", F.coalesce("label", "v").alias("component"))
     out = signed.select("doc_id", "n_shingles", "same").join(found, "same", "left")
@@ -152,14 +205,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
-def _rest(graph: _Graph, members: DataFrame, threshold: int) -> DataFrame:
-    """The pairs that share a bucket, are in different components and were not a pivot's candidates."""
-    labelled = stored(graph.label(members.select("key", "v", "n", "b"), "v", "c"), "labelled")
-    mixed_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    some = labelled.join(mixed_keys, "key", "left_semi").filter("v <> b")
-    other = some.select("key", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    met = some.join(other, "key").filter("v < v2 and c <> c2").filter(alike("n", "n2", threshold))
-    return met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.count("*").alias("weight"))
+def _rest(graph: _Graph, members: DataFrame) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, by comparing full sets."""
+    labelled = stored(graph.label(members.select("key", "v", "b"), "v", "c"), "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
+    some = stored(labelled.join(open_keys, "key", "left_semi"), "some")
+    family = components(some.filter("v <> b").select(F.col("v").alias("a"), "b"))
+    sized = family.groupBy("label").agg(F.count("*").alias("size"))
+    family = stored(family.join(sized, "label"), "family")
+    whole = family.filter(F.col("size") <= FAMILY).select("v", F.xxhash64("label").alias("group"))
+    # A larger family goes bucket by bucket; a bucket above the size is cut into blocks, and each pair of blocks is a group.
+    wide = some.join(family.filter(F.col("size") > FAMILY).select("v"), "v").select("key", "v")
+    blocks = wide.groupBy("key").agg(F.ceil(F.count("*") / (FAMILY // 2)).cast("int").alias("blocks"))
+    pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cut = wide.join(blocks, "key").select("key", "v", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("own"), pairs)
+    parts = cut.select("v", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))
+    rows = graph.label(whole.union(parts), "v", "c").join(graph.sets, "v").select("group", "v", "c", "s")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_linked(graph.threshold), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
