@@ -1,20 +1,45 @@
-"""Connected components of a link table, by label spreading with pointer jumping, all in Spark."""
+"""Connected components of a link table, by local forests and label spreading with pointer jumping."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (a, b) of one partition as a forest with the same components: (vertex, least vertex), one row a vertex."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = top(x), top(y)
+            if p != q:
+                above[max(p, q)] = min(p, q)
+    rows = [(x, top(x)) for x in above]
+    found = [(x, y) for x, y in rows if x != y]
+    yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label) for every v in the links (a, b): label is the least id that links reach from v.
 
-    Each pass takes the least label among the neighbours (aggregated before the shuffle, so a hub with
+    Every partition first reduces its links to a forest, before a shuffle by vertex and after it, so what
+    passes work on is about as large as the set of vertices, however many links there are. Each pass takes the least label among the neighbours (aggregated before the shuffle, so a hub with
     millions of links is one row of each task) and then the label's own label, so that the length of a
     chain halves. Passes end when no label changes; each is a table in the shared folder.
     """
+    local = stored(links.select("a", "b"), "links").mapInArrow(_forest, "a long, b long")
+    links = local.repartition("a").mapInArrow(_forest, "a long, b long")
     both = stored(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels")
     while True:
