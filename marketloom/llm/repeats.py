@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +36,9 @@ from .shingles import mixed, powers
 
 LENGTH, GRAM = 400, 128
 #: Suffixes of one chunk, and so of one sorted run.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+#: Bytes of text whose hashes a task holds together.
+SLICE = 1 << 18
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _BYTES = tuple(mixed(np.arange(256 * s, 256 * (s + 1), dtype=np.uint64)) for s in range(2))
 _inverse: dict[int, np.ndarray] = {}
@@ -102,28 +103,19 @@ def _anchors(at: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray] | None:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = column(batch, "doc_id")
-        for start, _, at, data in slices(column(batch, "text")):
+        ids, ths = column(batch, "doc_id"), column(batch, "th")
+        for start, _, at, data in slices(column(batch, "text"), SLICE):
             found = _anchors(at, data)
             if found is None or not len(found["row"]):
                 continue
-            rows = np.unique(found["row"])
-            th = np.zeros(len(at) - 1, np.uint64)
-            th[rows] = [xxhash.xxh3_64_intdigest(data[at[r] : at[r + 1]]) for r in rows]
+            rows = pa.array(found["row"] + start)
             yield pa.record_batch({
                 "gram": pa.array(found["gram"].view(np.int64)), "context": pa.array(found["context"].view(np.int64)),
-                "doc_id": ids.take(pa.array(found["row"] + start)), "th": pa.array(th[found["row"]].view(np.int64)),
+                "doc_id": ids.take(rows), "th": ths.take(rows),
                 **{k: pa.array(found[k]) for k in ("pos", "lo", "hi", "first")}, "n": pa.array(found["n"].astype(np.int32)),
             })
 
 
-def _key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, data = raw(column(batch, "text"))
-        th = np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(at[:-1], at[1:])], np.uint64)
-        yield pa.record_batch([*batch.columns, pa.array(th.view(np.int64))], names=[*batch.schema.names, "th"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks: the runs of suffixes to look at, with the bytes that they begin with."""
     task, held, size, k = TaskContext.get().partitionId() << 24, [], 0, 0
@@ -146,6 +138,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: a chunk is a large one."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _suffixes(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Both hashes of all suffixes of a chunk, in order of the first; the run and start of each."""
     data, n = np.frombuffer(row["bytes"], np.uint8), np.array(row["n"], np.int64)
@@ -172,7 +170,7 @@ def _owner(one: np.ndarray, owners: int) -> np.ndarray:
 def _ask(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 one, two, _, _ = _suffixes(row)
                 new, _ = _distinct(one, two)
                 one, two = one[new], two[new]
@@ -203,7 +201,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rows: list[dict] = []
     for batch in batches:
-        for r in batch.to_pylist():
+        for r in _rows(batch):
             if rows and rows[0]["owner"] != r["owner"]:
                 yield merged(rows)
                 rows = []
@@ -217,7 +215,7 @@ def _apply(owners: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 one, two, of, start = _suffixes(row)
                 new, times = _distinct(one, two)
                 cuts = np.searchsorted(_owner(one[new], owners), np.arange(owners + 1))
@@ -242,7 +240,7 @@ def _apply(owners: int):
 
 
 def intervals(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, spans): maximal ranges of repeated bytes of each text that has any; th is the text's hash."""
+    """(doc_id, th, spans): maximal ranges of repeated bytes of each text that has any. docs: doc_id, text and th, the text's hash."""
     owners = partitions(docs.sparkSession)
     anchors = stored(docs.mapInArrow(_find, ANCHORS), "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
@@ -257,10 +255,9 @@ def intervals(docs: DataFrame) -> DataFrame:
     runs = contexts.join(open_grams, "gram", "left_semi").select("one.*").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
     runs = stored(runs, "runs").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "runs")
     n_runs = runs.select(F.sum(F.size("runs"))).first()[0] or 0
-    keyed = docs.mapInArrow(_key, "doc_id long, text string, th long")
     near = small_or_not(runs, n_runs, 32)
     # A run that is alone in its gram's context is of one row; one of a repeated context may be of any of its copies.
-    texts = keyed.join(near, keyed["doc_id"].eqNullSafe(near["d"]) & (keyed["th"] == near["t"])).select("doc_id", "th", "text", "runs")
+    texts = docs.join(near, docs["doc_id"].eqNullSafe(near["d"]) & (docs["th"] == near["t"])).select("doc_id", "th", "text", "runs")
     chunks = stored(texts.mapInArrow(_cut, CHUNKS_DDL), "chunks")
     asked = chunks.mapInArrow(_ask(owners), "chunk long, owner int, n int, k int, code binary, proof binary")
     answers = asked.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(_answer, "chunk long, owner int, bits binary")
@@ -289,11 +286,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (array of lo, hi; null without any), kept (binary: the bytes outside them)."""
-    given = docs.select("doc_id", "text")
+    given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     found = intervals(given)
     near = small_or_not(found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans"), found.select(F.sum(F.size("spans") + 2)).first()[0] or 0, 24)
-    keyed = given.mapInArrow(_key, "doc_id long, text string, th long")
-    both = keyed.join(near, keyed["doc_id"].eqNullSafe(near["d"]) & (keyed["th"] == near["t"]), "left")
+    both = given.join(near, given["doc_id"].eqNullSafe(near["d"]) & (given["th"] == near["t"]), "left")
     return both.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
 
 
