@@ -94,7 +94,7 @@ def test_language_accuracy_on_held_out(spark):
 def test_language_odd_rows(spark, hand):
     model = langid.train(hand)
     out = {r.doc_id: r for r in langid.predict(hand, model, ("doc_id", "kept")).collect()}
-    assert out[3].lang_pred == "und" and out[6].lang_pred == "und" and out[5].lang_pred == "de" and 0 <= out[5].score <= 1 and out[5].kept == "c"
+    assert out[3].lang_pred == "und" and out[6].lang_pred == "und" and out[5].lang_pred == "de" and 0 <= out[5].score <= 1 and out[5].kept == "d"
     assert {r.lang_pred for r in langid.predict(hand, langid.train(hand.limit(0))).collect()} == {"und"}
 
 
