@@ -58,18 +58,18 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     targets = targets or {}
     spark = cells.sparkSession
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     wanted = {}
     for m in MARGINS:
-        observed = cells.groupBy(f"m_{m}").agg(F.sum("tokens").alias("tokens"))
+        observed = cells.groupBy(f"m_{m}").agg(F.sum("tokens").cast("double").alias("tokens"))
         share = F.pow("tokens", F.lit(TEMPER))
         if given := targets.get(m):
             table = spark.createDataFrame([(k, float(v)) for k, v in given.items()], f"m_{m} string, share double")
-            observed = observed.join(F.broadcast(table), f"m_{m}", "left")
-            share = F.coalesce("share", F.col("tokens") / F.col("total"))
-        total = observed.agg(F.sum("tokens").alias("total"))
-        shared = observed.crossJoin(F.broadcast(total)).withColumn("s", share)  # one row of totals
-        whole = shared.agg(F.sum("s").alias("all"))
-        wanted[m] = stored(shared.crossJoin(F.broadcast(whole)).select(f"m_{m}", (F.col("s") / F.col("all") * F.col("total")).alias("target")), "targets")
+            observed = observed.join(F.broadcast(table), f"m_{m}", "left")  # as long as the argument
+            share = F.coalesce("share", F.col("tokens") / F.lit(total))
+        shared = stored(observed.select(f"m_{m}", share.alias("s")), "shares")
+        whole = float(shared.agg(F.sum("s")).first()[0] or 1)
+        wanted[m] = shared.select(f"m_{m}", (F.col("s") / F.lit(whole) * F.lit(total)).alias("target"))
     for _ in range(passes):
         for m in MARGINS:
             sums = now.groupBy(f"m_{m}").agg(F.sum("weight").alias("sum")).join(wanted[m], f"m_{m}")

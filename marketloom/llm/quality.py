@@ -14,6 +14,7 @@ each for itself; other columns of the input stay, and a column named like a meas
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,23 +26,23 @@ from .common import documents
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
-#: Measurements, in order, over ``words`` and ``body`` (the text, null as empty).
+#: Measurements, in order, over ``t.words`` and ``t.body`` (the text, null as empty).
 MEASURES = {
-    "n_words": "bigint(size(words))",
-    "word_chars": "bigint(length(array_join(words, '')))",
-    "n_symbols": f"bigint(length(body) - length(translate(body, '{SYMBOLS}', '')))",
-    "n_dup_lines": r"""bigint(transform(array(filter(split(body, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')),
+    "n_words": "bigint(size(t.words))",
+    "word_chars": "bigint(length(array_join(t.words, '')))",
+    "n_symbols": f"bigint(length(t.body) - length(translate(t.body, '{SYMBOLS}', '')))",
+    "n_dup_lines": r"""bigint(transform(array(filter(split(t.body, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')),
         x -> size(x) - size(array_distinct(x)))[0])""",
     # Windows of three words sorted by hash: equal ones are neighbours, and their words are compared as well.
     # The starts of repeated windows in order then tell how many words they cover together.
-    "n_repeat_words": """bigint(if(size(words) < 4, 0, transform(array(sort_array(
-        transform(sequence(0, greatest(size(words) - 3, 0)), i ->
-            struct(xxhash64(words[i], get(words, i + 1), get(words, i + 2)) as h, i as i)))), s ->
+    "n_repeat_words": """bigint(if(size(t.words) < 4, 0, transform(array(sort_array(
+        transform(sequence(0, greatest(size(t.words) - 3, 0)), i ->
+            struct(xxhash64(t.words[i], get(t.words, i + 1), get(t.words, i + 2)) as h, i as i)))), s ->
         aggregate(sort_array(filter(transform(s, (x, k) -> if(
-                (x.h = get(s, k - 1).h and words[x.i] = words[get(s, k - 1).i]
-                    and words[x.i + 1] = words[get(s, k - 1).i + 1] and words[x.i + 2] = words[get(s, k - 1).i + 2])
-                or (x.h = get(s, k + 1).h and words[x.i] = words[get(s, k + 1).i]
-                    and words[x.i + 1] = words[get(s, k + 1).i + 1] and words[x.i + 2] = words[get(s, k + 1).i + 2]),
+                (x.h = get(s, k - 1).h and t.words[x.i] = t.words[get(s, k - 1).i]
+                    and t.words[x.i + 1] = t.words[get(s, k - 1).i + 1] and t.words[x.i + 2] = t.words[get(s, k - 1).i + 2])
+                or (x.h = get(s, k + 1).h and t.words[x.i] = t.words[get(s, k + 1).i]
+                    and t.words[x.i + 1] = t.words[get(s, k + 1).i + 1] and t.words[x.i + 2] = t.words[get(s, k + 1).i + 2]),
             x.i, null)), i -> i is not null)),
             struct(-3 as last, 0 as n), (a, i) -> struct(i as last, a.n + least(3, i - a.last) as n), a -> a.n))[0]))""",
 }
@@ -83,13 +84,14 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     for r in rules:
         if not 0 <= r.bit < 63:
             raise ValueError(f"bit {r.bit} of {r.name} is outside 0..62")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumns({"body": body, "words": F.filter(F.split(body, SPACE, -1), lambda w: w != "")})
-    out = out.withColumns({k: F.expr(v) for k, v in MEASURES.items()}).drop("body", "words")
-    bits = F.lit(0).cast("long")
-    for r in rules:
-        bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("failed_bits", bits)
+    # One expression, with words and measurements bound once: as stacked columns, a filter that Catalyst pushes down
+    # would split the text again wherever words are looked at.
+    words = f"transform(array(coalesce(text, '')), b -> struct(b as body, filter(split(b, r'{SPACE}', -1), w -> w <> '') as words))"
+    measured = f"transform({words}, t -> struct({', '.join(f'{v} as {k}' for k, v in MEASURES.items())}))"
+    bit = [f"if({re.sub(r'(' + '|'.join(MEASURES) + r')', r'm.\1', r.fails)}, {1 << r.bit}L, 0L)" for r in rules]
+    judged = f"transform({measured}, m -> struct({', '.join(f'm.{k} as {k}' for k in MEASURES)}, {' | '.join(bit or ['0L'])} as failed_bits))[0]"
+    kept = [c for c in docs.columns if c not in (*MEASURES, "failed_bits")]
+    return docs.withColumn("_ledger", F.expr(judged)).select(*kept, "_ledger.*")
 
 
 def passes(policy: Policy, rules: Sequence[Rule] = RULES) -> Column:
