@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_key, normalise_place, slugify
@@ -49,11 +49,9 @@ def new_markets(seen: DataFrame, markets: DataFrame, order: str = "file_seq") ->
 
 def attested(rows: DataFrame) -> DataFrame:
     """Triples on more than half of the sheets, with a unique slug; ``rows`` has group, commodity, specification and sheet."""
-    need = rows.agg((F.floor(F.countDistinct("sheet") / 2) + 1).alias("need"))
+    need = rows.agg(F.countDistinct("sheet")).first()[0] // 2 + 1
     triple = ["group", "commodity", "specification"]
-    counted = rows.groupBy(*triple).agg(F.countDistinct("sheet").alias("sheets")).crossJoin(F.broadcast(need)).filter("sheets >= need").drop("need")
-    from pyspark.sql import Window
-
+    counted = rows.groupBy(*triple).agg(F.countDistinct("sheet").alias("sheets")).filter(F.col("sheets") >= need)
     slug = slugify(F.col("group"), F.col("commodity"), F.col("specification"))
     n = F.row_number().over(Window.partitionBy("slug").orderBy(*triple))
     return counted.withColumn("slug", slug).withColumn("_n", n).withColumn("slug", F.when(F.col("_n") > 1, F.concat("slug", F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col("slug"))).drop("_n")

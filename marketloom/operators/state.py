@@ -93,14 +93,14 @@ def upsert(stored: DataFrame, batch: DataFrame, order: str = "position", now: Co
     revisions = both.filter("kind = 'revised'").select(
         *key, "_old.revision_no", *[F.col(f"_old.{c}") for c in FIGURE_COLUMNS], "_old.source_file_sha256", now.alias("superseded_at")
     )
-    counts = both.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("inserted", "revised")])
-    # Every agreeing repeat in the batch counts as unchanged as well.
-    size = batch.agg(F.count("*").alias("_rows")).crossJoin(F.broadcast(cut.conflicts.agg(F.count("*").alias("conflicts"), F.coalesce(F.sum("rows_rejected"), F.lit(0)).alias("rejected"))))
-    disputed = batch.join(cut.conflicts.select(*key), key, "left_semi").agg(F.count("*").alias("_disputed"))
-    outcome = counts.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(disputed))  # one row each
-    outcome = outcome.select(
-        "inserted", "revised", (F.col("_rows") - F.col("_disputed") - F.col("inserted") - F.col("revised")).alias("unchanged"), "conflicts", "rejected"
-    )
+    # All counts are one sum over short rows. Every agreeing repeat in the batch counts as unchanged as well.
+    count = lambda df, name, n=1: df.select(F.lit(name).alias("name"), (F.lit(n) if n == 1 else F.col(n)).cast("long").alias("n"))
+    disputed = batch.join(cut.conflicts.select(*key), key, "left_semi")
+    rows = both.select(F.col("kind").alias("name"), F.lit(1).cast("long").alias("n"))
+    for part in (count(batch, "rows"), count(disputed, "disputed"), count(cut.conflicts, "conflicts"), count(cut.conflicts, "rejected", "rows_rejected")):
+        rows = rows.union(part)
+    outcome = rows.agg(*[F.coalesce(F.sum(F.when(F.col("name") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("inserted", "revised", "rows", "disputed", "conflicts", "rejected")])
+    outcome = outcome.select("inserted", "revised", F.expr("rows - disputed - inserted - revised").alias("unchanged"), "conflicts", "rejected")
     return Upsert(state, revisions, outcome)
 
 
