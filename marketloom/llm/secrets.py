@@ -117,3 +117,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[c.alias(k) for k, c in count.items()],
         F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"),
     )
+
+
+def _kind_sql(kind: str, pattern: str, guard: str, group: int, least: int) -> str:
+    p, g = pattern.replace("'", "''"), guard.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {KINDS.index(kind)} AS k, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(vs) AS v, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+      list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))) AS s
+    FROM (SELECT doc_id, regexp_extract_all(body, '{p}') AS ms, regexp_extract_all(body, '{p}', {group}) AS vs, string_split_regex(body, '{p}') AS gs FROM d WHERE regexp_matches(body, '{g}')))
+  WHERE length(v) >= {least}"""
+
+
+def _sql_twin() -> str:
+    found = " UNION ALL ".join(_kind_sql(k, *v) for k, v in (BASE | PARTS).items())
+    one = "kind || ':' || s || ':' || e"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS body FROM documents), f AS MATERIALIZED ({found}),
+p AS (SELECT DISTINCT doc_id, s, e, CASE k WHEN 0 THEN {KINDS.index('key_value')} WHEN 1 THEN {KINDS.index('key_id')} ELSE k END AS k FROM f WHERE k <> 2),
+w AS (SELECT * FROM f WHERE k >= {len(BASE)} AND EXISTS (SELECT 1 FROM p WHERE p.doc_id = f.doc_id AND p.k <> f.k AND p.s <= f.e + {SCOPE} AND f.s <= p.e + {SCOPE})),
+b AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg({one}, ',' ORDER BY s, k, e) AS t FROM f WHERE k < {len(BASE)} GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg({one}, ',' ORDER BY s, k, e) AS t FROM (SELECT * FROM f WHERE k < {len(BASE)} UNION SELECT * FROM w) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b.t, '')) AS base_sha256, coalesce(a.t, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+SQL = _sql_twin()
