@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golomb
-from .common import column, documents, partitions, prepared, raw, slices, small_or_not, stored
+from .common import column, documents, partitions, prepared, raw, slices, stored
 from .exact import low_of
 from .shingles import mixed, powers
 
@@ -244,8 +244,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     owners = partitions(docs.sparkSession)
     anchors = stored(docs.mapInArrow(_find, ANCHORS), "anchors")
     grams = anchors.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1").select("gram")
-    grams = stored(grams, "grams")
-    suspects = stored(anchors.join(small_or_not(grams, grams.count(), 16), "gram", "left_semi"), "suspects")
+    suspects = stored(anchors.join(grams, "gram", "left_semi"), "suspects")
     place = ["doc_id", "th", "pos", "lo", "hi", "first", "n"]
     one = F.min(F.struct(*place))
     contexts = stored(suspects.groupBy("gram", "context").agg(F.count("*").alias("times"), one.alias("one")), "contexts")
@@ -254,10 +253,8 @@ def intervals(docs: DataFrame) -> DataFrame:
     open_grams = contexts.groupBy("gram").agg(F.min("times").alias("least"), F.count("*").alias("kinds")).filter("least = 1 and kinds > 1").select("gram")
     runs = contexts.join(open_grams, "gram", "left_semi").select("one.*").groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
     runs = stored(runs, "runs").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "runs")
-    n_runs = runs.select(F.sum(F.size("runs"))).first()[0] or 0
-    near = small_or_not(runs, n_runs, 32)
     # A run that is alone in its gram's context is of one row; one of a repeated context may be of any of its copies.
-    texts = docs.join(near, docs["doc_id"].eqNullSafe(near["d"]) & (docs["th"] == near["t"])).select("doc_id", "th", "text", "runs")
+    texts = docs.join(runs, docs["doc_id"].eqNullSafe(runs["d"]) & (docs["th"] == runs["t"])).select("doc_id", "th", "text", "runs")
     chunks = stored(texts.mapInArrow(_cut, CHUNKS_DDL), "chunks")
     asked = chunks.mapInArrow(_ask(owners), "chunk long, owner int, n int, k int, code binary, proof binary")
     answers = asked.repartition(owners, "owner").sortWithinPartitions("owner").mapInArrow(_answer, "chunk long, owner int, bits binary")
@@ -288,8 +285,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (array of lo, hi; null without any), kept (binary: the bytes outside them)."""
     given = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     found = intervals(given)
-    near = small_or_not(found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans"), found.select(F.sum(F.size("spans") + 2)).first()[0] or 0, 24)
-    both = given.join(near, given["doc_id"].eqNullSafe(near["d"]) & (given["th"] == near["t"]), "left")
+    spans = found.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "spans")
+    both = given.join(spans, given["doc_id"].eqNullSafe(spans["d"]) & (given["th"] == spans["t"]), "left")
     return both.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id long, n_bytes long, spans array<struct<lo:long,hi:long>>, kept binary")
 
 
