@@ -6,9 +6,10 @@ their targets; a document is then kept with its cell's probability, by a hash of
 documents are kept on every run and on every cluster.
 
 Targets are shares per value of a marginal. Without given ones they are the observed shares raised to
-``TEMPER``, which moves weight from large values to small ones. A cell is kept whole where it has no more
-tokens than its calibrated weight, and by the ratio of the two otherwise: nothing is repeated, and no small cell is
-thinned.
+``TEMPER``, which moves weight from large values to small ones. The ratio of a cell's calibrated weight to its tokens
+says how often its documents are taken: below one it is the probability to be kept, above one its whole part is the
+number of copies and its fraction the probability of one more. So the tokens taken have the fitted marginals (in the
+mean over the hash) and about the total that came in; ``probability`` and ``kept`` alone, which stop at one, have not.
 
 Cases: null source or language is a value of its own; null or empty texts have no tokens and go with their cell; a
 value without a target keeps its observed share; rows that share a doc_id have one fate within a cell; cells without
@@ -80,19 +81,22 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, passes: int = PASSES) -> DataFrame:
-    """docs with n_tokens, the marginals, ``probability`` and ``kept``."""
+    """docs with n_tokens, the marginals, ``ratio``, ``probability``, ``copies`` and ``kept`` (at least one copy)."""
     given = with_cells(docs)
     keys = [f"m_{m}" for m in MARGINS]
     cells = stored(given.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(1.0)
-    fitted = rake(cells, targets, passes).select(*keys, p.alias("probability"))
-    return given.join(fitted, keys).withColumn("kept", uniform() < F.col("probability"))
+    ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
+    fitted = rake(cells, targets, passes).select(*keys, ratio.alias("ratio"), F.least(F.lit(1.0), ratio).alias("probability"))
+    whole = F.floor("ratio")
+    copies = whole + (uniform() < F.col("ratio") - whole).cast("long")
+    return given.join(fitted, keys).withColumns({"copies": copies, "kept": uniform() < F.col("probability")})
 
 
 def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
-    """The documents that the calibrated probabilities keep, with the columns they came with."""
+    """The documents as often as the calibrated ratios take them, with the columns they came with."""
     packed = docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source", "lang")
-    return mix(packed, targets).filter("kept").select("doc.*")
+    taken = mix(packed, targets).filter("copies > 0").select("doc", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    return taken.select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

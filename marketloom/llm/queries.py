@@ -13,6 +13,7 @@ from .common import prepared
 MODULES = {
     "op1_quality_rules": "quality",
     "op2_mix_sources": "mixing",
+    "op2_mix_copies": "mixcopies",
     "op3_exact_dedup": "exact",
     "op4_language_id": "langid",
     "op5_byte_bpe": "bpe",

@@ -71,6 +71,18 @@ def test_mixing(spark, hand):
     assert mixing.sample(hand).columns == hand.columns and mixing.sample(hand.limit(0)).count() == 0
 
 
+def test_mixing_takes_the_target_shares(spark):
+    rows = [(i, "word " * 20 + ("1234" if i % 10 == 0 else ""), "es" if i % 8 == 0 else "en", "small" if i % 25 == 0 else "large") for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {"lang": {"en": 0.7, "es": 0.3}, "source": {"large": 0.8, "small": 0.2}, "topic": {"prose": 0.75, "figures": 0.25}}
+    cells = mixing.with_cells(mixing.sample(docs, wanted)).groupBy("m_lang", "m_source", "m_topic").agg({"n_tokens": "sum"}).collect()
+    total = sum(r[3] for r in cells)
+    assert abs(total / (20 * 8000 + 800) - 1) < 0.05
+    for k, m in enumerate(("lang", "source", "topic")):
+        for value, share in wanted[m].items():
+            assert abs(sum(r[3] for r in cells if r[k] == value) / total - share) < 0.02
+
+
 def test_exact(spark, hand):
     got = {(r.doc_id, r.text_sha256): r for r in exact.duplicates(hand).collect()}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
