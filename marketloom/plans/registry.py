@@ -218,6 +218,16 @@ def quality_sources(spark, sf):
     return quality.per_source(b.sources(spark, sf), day)
 
 
+@query(f"""WITH r AS ({b.RUNS_SQL})
+SELECT n_name AS slug, n_name AS name, count(run_id) AS runs, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'partial') AS partial,
+  strftime(max(started_at), '%Y-%m-%d %H:%M:%S') AS last_run_at, strftime(max(started_at) FILTER (status = 'succeeded'), '%Y-%m-%d %H:%M:%S') AS last_success_at,
+  coalesce(sum(rows_upserted), 0)::BIGINT AS rows_upserted, coalesce(sum(rows_quarantined), 0)::BIGINT AS rows_quarantined,
+  CASE WHEN count(run_id) > 0 THEN count(*) FILTER (status = 'succeeded') / count(run_id) END AS success_rate
+FROM nation LEFT JOIN r ON n_name = r.source GROUP BY n_name""")
+def quality_sources_all(spark, sf):
+    return quality.per_source(b.sources(spark, sf), b.runs(spark, sf))
+
+
 @query("""SELECT stage, count(*) AS rows, min(reason) AS example_reason FROM (
   SELECT CASE WHEN l_quantity < 5 THEN 'index' WHEN l_quantity < 15 THEN 'parse' ELSE 'alias' END AS stage, 'held: ' || l_returnflag || ' ' || l_linestatus AS reason FROM lineitem WHERE l_discount > 0.05) GROUP BY stage""")
 def quality_quarantine(spark, sf):
