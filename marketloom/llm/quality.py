@@ -15,7 +15,7 @@ each for itself; other columns of the input stay, and a column named like a meas
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +47,15 @@ MEASURES = {
             struct(-3 as last, 0 as n), (a, i) -> struct(i as last, a.n + least(3, i - a.last) as n), a -> a.n))[0]))""",
 }
 
+#: Letters of scripts that put no space between words: Thai to Lao, Burmese, Khmer, kana and Han.
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
+
+#: Those and what the rules on whole lines and mean words need besides.
+LINE_MEASURES = MEASURES | {
+    "n_lines": r"""bigint(size(filter(split(t.body, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')))""",
+    "n_unspaced": f"bigint(length(t.body) - length(regexp_replace(t.body, r'[{UNSPACED}]', '')))",
+}
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -73,13 +82,21 @@ RULES = (
 BASE = Policy("base", ("too_short", "repeated_windows"))
 STRICT = Policy("2", ("too_short", "repeated_windows", "symbol_heavy", "long_words", "repeated_lines"))
 
+#: Lines are held against lines, and the mean word against a length that occurs, unspaced scripts aside.
+LINE_RULES = (
+    *RULES,
+    Rule(5, "duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(6, "long_mean_word", "word_chars > 10 * n_words and 10 * n_unspaced < word_chars"),
+)
+LINES = Policy("3", (*STRICT.rules, "duplicate_lines", "long_mean_word"))
+
 
 def mask(policy: Policy, rules: Sequence[Rule] = RULES) -> int:
     bits = {r.name: r.bit for r in rules}
     return sum(1 << bits[name] for name in policy.rules)
 
 
-def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES, measures: Mapping[str, str] = MEASURES) -> DataFrame:
     """docs with the measurements and ``failed_bits`` (long, bit r.bit set if rule r fails)."""
     for r in rules:
         if not 0 <= r.bit < 63:
@@ -87,10 +104,10 @@ def ledger(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     # One expression, with words and measurements bound once: as stacked columns, a filter that Catalyst pushes down
     # would split the text again wherever words are looked at.
     words = f"transform(array(coalesce(text, '')), b -> struct(b as body, filter(split(b, r'{SPACE}', -1), w -> w <> '') as words))"
-    measured = f"transform({words}, t -> struct({', '.join(f'{v} as {k}' for k, v in MEASURES.items())}))"
-    bit = [f"if({re.sub(r'(' + '|'.join(MEASURES) + r')', r'm.\1', r.fails)}, {1 << r.bit}L, 0L)" for r in rules]
-    judged = f"transform({measured}, m -> struct({', '.join(f'm.{k} as {k}' for k in MEASURES)}, {' | '.join(bit or ['0L'])} as failed_bits))[0]"
-    kept = [c for c in docs.columns if c not in (*MEASURES, "failed_bits")]
+    measured = f"transform({words}, t -> struct({', '.join(f'{v} as {k}' for k, v in measures.items())}))"
+    bit = [f"if({re.sub(r'(' + '|'.join(measures) + r')', r'm.\1', r.fails)}, {1 << r.bit}L, 0L)" for r in rules]
+    judged = f"transform({measured}, m -> struct({', '.join(f'm.{k} as {k}' for k in measures)}, {' | '.join(bit or ['0L'])} as failed_bits))[0]"
+    kept = [c for c in docs.columns if c not in (*measures, "failed_bits")]
     return docs.withColumn("_ledger", F.expr(judged)).select(*kept, "_ledger.*")
 
 
@@ -118,9 +135,10 @@ def ablations(judged: DataFrame, policy: Policy, rules: Sequence[Rule] = RULES)
     )
 
 
-def quality_filter(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
+def quality_filter(docs: DataFrame, policy: Policy = LINES) -> DataFrame:
     """The documents that pass the policy, with the columns they came with."""
-    return ledger(docs.select(F.struct("*").alias("doc"), "text")).filter(passes(policy)).select("doc.*")
+    judged = ledger(docs.select(F.struct("*").alias("doc"), "text"), LINE_RULES, LINE_MEASURES)
+    return judged.filter(passes(policy, LINE_RULES)).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

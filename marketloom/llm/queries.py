@@ -12,6 +12,7 @@ from .common import prepared
 #: query name -> module with ``query(spark, sf_dir)`` and, where SQL can say the same, ``SQL``.
 MODULES = {
     "op1_quality_rules": "quality",
+    "op1_quality_ablations": "ablations",
     "op2_mix_sources": "mixing",
     "op2_mix_copies": "mixcopies",
     "op3_exact_dedup": "exact",

@@ -55,6 +55,16 @@ def test_quality_keeps_columns_and_handles_odd_rows(spark, hand):
     assert rules["too_short"].n_failed == 9 and rules["repeated_windows"].n_failed == 1
 
 
+def test_quality_holds_lines_against_lines(spark):
+    rnd = random.Random(2)
+    line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(10))
+    lines = [line() for _ in range(55)] + [line()] * 45
+    han = " ".join("汉字没有空格所以词长很大" + chr(0x4E00 + i) for i in range(60))
+    texts = {1: "\n".join(lines), 2: "\n".join(lines[:56]), 3: " ".join("x" * 12 + str(i) for i in range(100, 160)), 4: han}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r.doc_id for r in quality.quality_filter(docs).orderBy("doc_id").collect()] == [2, 4]
+
+
 def test_repeat_words_against_brute_force(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 60)))) for i in range(60)]
