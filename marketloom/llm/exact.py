@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golomb
@@ -153,12 +153,22 @@ def duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
     )
 
 
-def drop_duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
-    """docs without the rows whose text another row with a larger doc_id has."""
-    gone = stored(duplicates(docs, owners).filter("not kept").select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha")), "gone")
-    near = small_or_not(gone, gone.count(), 96)
-    same = docs["doc_id"].eqNullSafe(near["gone"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == near["gone_sha"])
-    return docs.join(near, same, "left_anti")
+def drop_duplicates(docs: DataFrame, owners: int | None = None, whole: bool = False) -> DataFrame:
+    """docs without the rows whose text another row with a larger doc_id has; ``whole`` also leaves one of equal (doc_id, text) rows."""
+    found = stored(duplicates(docs, owners).filter("group_size > 1").select("doc_id", "text_sha256", "kept"), "found")
+
+    def same(rows: DataFrame) -> tuple[DataFrame, Column]:
+        near = small_or_not(rows.select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("gone_sha")), rows.count(), 96)
+        return near, docs["doc_id"].eqNullSafe(near["gone"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == near["gone_sha"])
+
+    left = docs.join(*same(found.filter("not kept")), "left_anti")
+    if not whole:
+        return left
+    again = stored(found.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1"), "again")
+    if again.isEmpty():
+        return left
+    one = docs.join(*same(again), "left_semi").withColumn("_null", F.expr("coalesce(text, '')")).dropDuplicates(["doc_id", "_null"]).drop("_null")
+    return left.join(*same(again), "left_anti").unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as tokenizer_files
 import pytest
 
+import corpus_pipeline
 from marketloom.llm import bpe, chunks, common, counts, exact, golomb, idfile, langid, mixing, neardup, pfor, quality, queries, repeats, secrets
 
 from ..oracle import same
@@ -102,6 +103,11 @@ def test_exact(spark, hand):
     assert left.columns == hand.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == [2, 4, 4, 5, 6, 7, 8]
 
 
+def test_rows_that_repeat_wholly_go_too(spark, hand):
+    left = corpus_pipeline.exact_dedup(spark, hand.union(hand), SF)
+    assert left.columns == hand.columns and sorted(r.doc_id for r in left.select("doc_id").collect()) == [2, 4, 5, 6, 7, 8]
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 3000])
 def test_golomb(n):
     v = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))
