@@ -72,7 +72,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def linked(scanned: DataFrame, key: str = "row_key", scope: int = SCOPE) -> DataFrame:
-    """(key, links): the weak parts that have a part of another kind within ``scope``.
+    """(key, links): the weak parts that have a part of another kind within ``scope`` that they do not overlap.
 
     An access span serves as key_id, an assign span as key_value. Parts fall into cells of ``scope``
     code points; one side is copied to its neighbouring cells, so each near pair meets in just one.
@@ -92,7 +92,7 @@ def linked(scanned: DataFrame, key: str = "row_key", scope: int = SCOPE) -> Data
         key, F.col("s").alias("s2"), F.col("k").alias("k2"), F.col("e").alias("e2"),
         F.explode(F.expr(f"sequence(greatest(0, s - {scope}) div {scope} - 1, (e + {scope}) div {scope})")).alias("cell"),
     )
-    met = own.join(near, [key, "cell"]).filter(f"k <> k2 and s2 <= e + {scope} and s <= e2 + {scope}")
+    met = own.join(near, [key, "cell"]).filter(f"k <> k2 and s2 <= e + {scope} and s <= e2 + {scope} and (e <= s2 or e2 <= s)")
     # A pair may meet from one side only when a part is longer than a cell; so both of its parts are taken.
     both = met.select(key, F.explode(F.array(F.struct("s", "k", "e"), F.struct(F.col("s2").alias("s"), F.col("k2").alias("k"), F.col("e2").alias("e")))).alias("p"))
     return both.groupBy(key).agg(F.collect_set("p").alias("links"))

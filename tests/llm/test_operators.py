@@ -286,3 +286,13 @@ def test_repeats_at_edges(spark, monkeypatch):
 
 def test_repeats_odd_rows(spark, hand):
     assert repeats.remove_repeats(hand).count() == len(CASES) and repeats.remove_repeats(hand.limit(0)).count() == 0
+
+
+def test_weak_part_is_not_its_own_counterpart(spark):
+    both = "AKQ7ZP2M" * 4
+    docs = spark.createDataFrame([(1, f"see {both} here"), (2, f"see {both} and {both} here")], "doc_id long, text string")
+    scanned = secrets.scan(docs)
+    weak = {r.doc_id: {x.k for x in r.weak} for r in scanned.collect()}
+    assert len(weak[1]) == 2
+    links = {r.doc_id: len(r.links) for r in secrets.linked(scanned, "doc_id").collect()}
+    assert links == {2: 4}
