@@ -1,13 +1,13 @@
 """Token counts: lengths only, in batches of bounded bytes.
 
 Each Arrow batch is cut into slices of about equal bytes, so one slice of long texts costs what one of
-many short texts does; a longer text is a slice of its own, and its distinct chunks are encoded as
+many short texts does; a longer text is a slice of its own, worked on in parts, and its distinct chunks are encoded as
 those of any other (see ``chunks``: texts are cut only where the ids of the parts join to those of
 the whole). Only lengths leave the task. The rows are spread over the executors by the scan; there
 is no shuffle.
 
 Cases: null and empty texts have no bytes and no tokens; repeated rows are counted each; other
-columns named in ``keep`` pass through.
+columns named in ``keep`` pass through, null ones as they are, the rest is not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
