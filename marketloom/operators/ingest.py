@@ -17,36 +17,50 @@ class Ingest:
     upsert: state.Upsert
     quarantine: DataFrame
     markets: DataFrame
+    files: DataFrame
+
+
+def placed_files(cells: DataFrame, headers: DataFrame, regions: DataFrame, today: Column) -> DataFrame:
+    """headers with psgc_code, stage and reason: why a file is refused whole, or null.
+
+    A header that cannot be read comes first, then a sheet without column header, then an unknown province, then a date after ``today``.
+    """
+    shape = sheets.refused_files(cells).select("file_sha", F.col("reject_reason").alias("_shape"))
+    out = resolve.resolve_provinces(headers, regions).join(shape, "file_sha", "left")
+    parse = F.coalesce("reject_reason", "_shape")
+    unknown = F.concat(F.lit("province '"), F.col("province"), F.lit("' is not a seeded region"))
+    late = F.concat(F.lit("sheet is dated "), F.col("observed_on").cast("string"), F.lit(", after the run date "), today.cast("string"))
+    place = F.when(F.col("psgc_code").isNull(), unknown).when(F.col("observed_on") > today, late)
+    return out.withColumns({"stage": F.when(parse.isNotNull(), "parse").when(place.isNotNull(), "validate"), "reason": F.coalesce(parse, place)}).drop("_shape", "reject_reason")
 
 
 def ingest(
-    cells: DataFrame, headers: DataFrame, stored: DataFrame, dims: dict[str, DataFrame], source: str, run_id: str, today: Column | None = None
+    cells: DataFrame, headers: DataFrame, stored: DataFrame, dims: dict[str, DataFrame], source: str, run_id: str, today: Column | None = None, now: Column | None = None
 ) -> Ingest:
-    """cells: as ``sheets`` takes them; headers: one row per file (``sheets.sheet_headers``) with ``file_seq``.
+    """cells: as ``sheets`` takes them; headers: one row per file (``sheets.sheet_headers``) with ``file_seq``, the order in which files count.
 
-    dims: commodities, commodity_aliases, regions, markets. A file with a bad header is held whole, then one of an
-    unknown province, then one dated in the future; rows are held at parse or alias.
+    dims: commodities, commodity_aliases, regions, markets. Refused files are held whole, rows at parse or alias, and keys that
+    one file tells in two ways at validate. Markets not known yet are made; two spellings of a market are one.
     """
     today = today if today is not None else F.current_date()
-    placed = resolve.resolve_provinces(headers, dims["regions"])
-    refused = F.when(F.col("psgc_code").isNull(), F.concat(F.lit("unknown province: "), F.col("province"))).when(
-        F.col("observed_on") > today, F.concat(F.lit("dated in the future: "), F.col("observed_on").cast("string"))
-    )
-    placed = placed.withColumn("_refused", F.when(F.col("reject_reason").isNull(), refused))
-    good = placed.filter("reject_reason is null and _refused is null")
-    rows = sheets.price_rows(cells).join(good.select("file_sha", "file_seq", "observed_on", "psgc_code", "municipality", "market"), "file_sha")
-    parsed = rows.filter("reject_reason is null")
-    resolved = resolve.resolve_commodities(parsed, dims["commodity_aliases"], dims["commodities"])
+    files = placed_files(cells, headers, dims["regions"], today)
+    good = files.filter("reason is null")
     fresh = resolve.new_markets(good.withColumnRenamed("psgc_code", "region_psgc_code"), dims["markets"])
-    key = F.sha2(F.concat_ws("|", "psgc_code", F.lower("municipality"), F.lower("market")), 256)
+    markets = dims["markets"].select("id", "region_psgc_code", "municipality", "name").unionByName(fresh)
+    named = resolve.with_market(good.select("file_sha", "file_seq", "observed_on", "psgc_code", "municipality", "market"), markets)
+    rows = sheets.price_rows(cells).join(named.drop("psgc_code", "municipality", "market"), "file_sha")
+    resolved = resolve.resolve_commodities(rows.filter("reject_reason is null"), dims["commodity_aliases"], dims["commodities"])
     batch = resolved.filter("alias_reason is null").select(
-        F.lit(source).alias("source"), F.conv(F.substring(key, 1, 15), 16, 10).cast("long").alias("market"), F.col("canonical_slug").alias("commodity"), "observed_on",
-        *FIGURES, "unavailable", F.col("file_sha").alias("source_file_sha256"), F.struct("file_seq", "row_no").alias("position"),
+        F.lit(source).alias("source"), F.col("market_id").alias("market"), F.col("canonical_slug").alias("commodity"), "observed_on",
+        *FIGURES, "unavailable", F.col("file_sha").alias("source_file_sha256"), "file_seq", F.col("row_no").alias("position"),
     )
+    done = state.upsert_files(stored, batch, now=now)
+    told = F.format_string("%d rows in one batch resolve to commodity %s at market %d on %s with different figures", "rows_rejected", "commodity", "market", F.col("observed_on").cast("string"))
+    disputed = done.conflicts.join(files.select("file_seq", "file_sha"), "file_seq")
     held = ledger.quarantine(
-        ledger.held(placed, "parse", F.col("reject_reason"), ["file_sha"], source, run_id),
-        ledger.held(placed, "validate", F.col("_refused"), ["file_sha", "province"], source, run_id),
-        ledger.held(rows, "parse", F.col("reject_reason"), ["row_no", "cells", "group"], source, run_id),
-        ledger.held(resolved, "alias", F.col("alias_reason"), ["group", "commodity", "specification", "unit"], source, run_id),
+        ledger.held(files, F.col("stage"), F.col("reason"), ["province", "municipality", "market", "observed_on"], source, run_id, now),
+        ledger.held(rows, "parse", F.col("reject_reason"), ["row_no", "cells", "group"], source, run_id, now),
+        ledger.held(resolved, "alias", F.col("alias_reason"), ["group", "commodity", "specification", "unit", "alias_key"], source, run_id, now),
+        ledger.held(disputed, "validate", told, ["source", "market", "commodity", "observed_on"], source, run_id, now),
     )
-    return Ingest(state.upsert(stored, batch), held, fresh)
+    return Ingest(done, held, fresh, files)

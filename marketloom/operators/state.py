@@ -1,17 +1,17 @@
-"""The revisioned fact table: collapse of a batch, bulk replay of a history, incremental upsert.
+"""The revisioned fact table: collapse of a batch, replay of a history, incremental upsert.
 
-Parquet has no MERGE, so an upsert computes the new state and the revisions from a join, and
-``publish`` stages both and swaps them in one metadata step. One writer at a time.
+Parquet has no MERGE, so an upsert computes a chain of versions of every key: the last one is the state, the ones before it are
+archived. ``publish`` writes a chain as one version folder, which readers are told of. One writer at a time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import FIGURES, NATURAL_KEY
+from ..schemas import FIGURES, NATURAL_KEY, TABLES
 
 FIGURE_COLUMNS = (*FIGURES, "unavailable")
 
@@ -32,25 +32,40 @@ def invalid_reason() -> Column:
     )
 
 
+def valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be stored, the others with ``invalid_reason``)."""
+    judged = df.withColumn("invalid_reason", invalid_reason())
+    return judged.filter("invalid_reason is null").drop("invalid_reason"), judged.filter("invalid_reason is not null")
+
+
 @dataclass(frozen=True)
 class Collapsed:
     settled: DataFrame
     conflicts: DataFrame
+    counts: DataFrame
 
 
 def collapse_duplicates(batch: DataFrame, order: str = "position", key: tuple[str, ...] = NATURAL_KEY) -> Collapsed:
     """Equal repeats of a key are one row, its first; a key with differing rows is in conflict and leaves no row.
 
-    conflicts: the key, how many rows it is about (the first, and all from the first disagreement on).
+    conflicts: the key, how many rows it is about (the first, and all from the first disagreement on). counts: one row with the
+    number of rows, of those of disputed keys, and of disputed keys. ``order`` is unique within a key.
     """
-    # Everything follows from each row against the first of its key, so no list of rows is built.
-    first = batch.groupBy(*key).agg(F.min_by(figures(), order).alias("_first"), F.min(order).alias("_at"))
-    against = batch.join(first, list(key)).withColumn("_differs", ~figures().eqNullSafe(F.col("_first")))
-    split = against.groupBy(*key).agg(F.min(F.when(F.col("_differs"), F.col(order))).alias("_split"))
-    judged = against.join(split, list(key))
-    settled = judged.filter(F.col("_split").isNull() & (F.col(order) == F.col("_at"))).select(*batch.columns)
-    rows = judged.filter(F.col(order) >= F.col("_split")).groupBy(*key).agg((F.count("*") + 1).alias("rows_rejected"))
-    return Collapsed(settled, rows)
+    # Rows are counted by key and figures before any of them moves, so a key with many equal rows is one row of each task.
+    rest = [c for c in batch.columns if c not in key]
+    kinds = batch.groupBy(*key, figures().alias("_figures")).agg(F.min(order).alias("_at"), F.min_by(F.struct(*rest), order).alias("_row"), F.count("*").alias("_n"))
+    by_first = Window.partitionBy(*key).orderBy("_at")
+    ranked = kinds.withColumns({"_k": F.row_number().over(by_first), "_split": F.lead("_at").over(by_first)})
+    disputed = (F.col("_k") > 1) | F.col("_split").isNotNull()
+    settled = ranked.filter(~disputed).select(*key, "_row.*").select(*batch.columns)
+    # All rows with other figures come after the split; of those with the first figures it has to be looked up.
+    again = ranked.filter("_k = 1 and _split is not null").select(*key, F.col("_figures").alias("_first"), "_split")
+    late = batch.join(again, list(key)).filter(figures().eqNullSafe(F.col("_first")) & (F.col(order) > F.col("_split"))).select(*key, F.lit(1).cast("long").alias("_n"))
+    other = ranked.filter(disputed).select(*key, F.when(F.col("_k") > 1, F.col("_n")).otherwise(1).alias("_n"))
+    conflicts = other.union(late).groupBy(*key).agg(F.sum("_n").alias("rows_rejected"))
+    count = lambda c: F.coalesce(F.sum(F.when(disputed, c)), F.lit(0))
+    counts = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), count(F.col("_n")).alias("disputed"), count(F.when(F.col("_k") == 1, 1).otherwise(0)).alias("conflicts"))
+    return Collapsed(settled, conflicts, counts)
 
 
 def revision_chain(history: DataFrame, order: str = "file_seq", key: tuple[str, ...] = NATURAL_KEY) -> DataFrame:
@@ -61,51 +76,104 @@ def revision_chain(history: DataFrame, order: str = "file_seq", key: tuple[str,
     return changed.withColumns({"revision_no": F.row_number().over(w) - 1, "is_current": F.lead(F.lit(1)).over(w).isNull()})
 
 
+def replay(stored: DataFrame, settled: DataFrame, order: str = "file_seq", now: Column | None = None) -> DataFrame:
+    """The chain of every key from its stored row on: the columns of the fact table, at, is_current and kind.
+
+    settled: one row per key and file. A new key starts with revision 0; equal figures change nothing, provenance included;
+    different ones follow with the next number. kind is stored, inserted or revised; at is when a row was written.
+    """
+    now = now if now is not None else F.current_timestamp()
+    key, some = list(NATURAL_KEY), [*FIGURE_COLUMNS, "source_file_sha256"]
+    old = stored.select(*key, *some, F.col("revision_no").alias("_base"), F.col("ingested_at").alias("at"), F.lit(0).alias("_new"), F.lit(None).cast(settled.schema[order].dataType).alias("_order"))
+    new = quantised(settled).select(*key, *some, F.lit(None).cast("int").alias("_base"), now.alias("at"), F.lit(1).alias("_new"), F.col(order).alias("_order"))
+    w = Window.partitionBy(*key).orderBy("_new", "_order")
+    seen = old.union(new).withColumns({"_n": F.row_number().over(w), "_before": F.lag(figures()).over(w), "_base": F.coalesce(F.first("_base").over(w), F.lit(0))})
+    changed = seen.filter((F.col("_n") == 1) | ~figures().eqNullSafe(F.col("_before")))
+    number = F.row_number().over(w)
+    out = changed.withColumns({"_k": number, "is_current": F.lead(F.lit(1)).over(w).isNull()})
+    kind = F.when(F.col("_new") == 0, "stored").when(F.col("_k") == 1, "inserted").otherwise("revised")
+    return out.select(*key, *FIGURE_COLUMNS, (F.col("_base") + F.col("_k") - 1).cast("int").alias("revision_no"), "source_file_sha256", "at", "is_current", kind.alias("kind"))
+
+
+def state_of(chain: DataFrame) -> DataFrame:
+    return chain.filter("is_current").select(*NATURAL_KEY, *FIGURE_COLUMNS, "revision_no", "source_file_sha256", F.col("at").alias("ingested_at"))
+
+
+def revisions_of(chain: DataFrame, now: Column | None = None) -> DataFrame:
+    now = now if now is not None else F.current_timestamp()
+    return chain.filter("not is_current").select(*NATURAL_KEY, "revision_no", *FIGURE_COLUMNS, "source_file_sha256", now.alias("superseded_at"))
+
+
 @dataclass(frozen=True)
 class Upsert:
     state: DataFrame
     revisions: DataFrame
     outcome: DataFrame
+    chain: DataFrame
+    conflicts: DataFrame
 
 
 def upsert(stored: DataFrame, batch: DataFrame, order: str = "position", now: Column | None = None) -> Upsert:
-    """New state, revisions to append, and one row of counts.
-
-    A new key is inserted with revision 0; equal figures change nothing, provenance included; different ones
-    archive the old row and raise its number. Keys in conflict within the batch leave the stored row alone.
-    """
-    now = now if now is not None else F.current_timestamp()
-    cut = collapse_duplicates(quantised(batch), order)
-    key = list(NATURAL_KEY)
-    new = cut.settled.select(*key, F.struct(*FIGURE_COLUMNS, "source_file_sha256").alias("_new"))
-    old = stored.select(*key, F.struct(*FIGURE_COLUMNS, "revision_no", "source_file_sha256", "ingested_at").alias("_old"))
-    both = old.join(new, key, "full")
-    same = F.struct(*[F.col(f"_old.{c}") for c in FIGURE_COLUMNS]).eqNullSafe(F.struct(*[F.col(f"_new.{c}") for c in FIGURE_COLUMNS]))
-    kind = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "inserted").when(same, "unchanged").otherwise("revised")
-    both = both.withColumn("kind", kind)
-    write = F.col("kind").isin("inserted", "revised")
-    pick = lambda c: F.when(write, F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}")).alias(c)
-    number = F.when(F.col("kind") == "inserted", 0).when(F.col("kind") == "revised", F.col("_old.revision_no") + 1).otherwise(F.col("_old.revision_no"))
-    state = both.select(
-        *key, *[pick(c) for c in FIGURE_COLUMNS], number.cast("int").alias("revision_no"), pick("source_file_sha256"),
-        F.when(write, now).otherwise(F.col("_old.ingested_at")).alias("ingested_at"),
-    )
-    revisions = both.filter("kind = 'revised'").select(
-        *key, "_old.revision_no", *[F.col(f"_old.{c}") for c in FIGURE_COLUMNS], "_old.source_file_sha256", now.alias("superseded_at")
-    )
-    # All counts are one sum over short rows. Every agreeing repeat in the batch counts as unchanged as well.
-    count = lambda df, name, n=1: df.select(F.lit(name).alias("name"), (F.lit(n) if n == 1 else F.col(n)).cast("long").alias("n"))
-    disputed = batch.join(cut.conflicts.select(*key), key, "left_semi")
-    rows = both.select(F.col("kind").alias("name"), F.lit(1).cast("long").alias("n"))
-    for part in (count(batch, "rows"), count(disputed, "disputed"), count(cut.conflicts, "conflicts"), count(cut.conflicts, "rejected", "rows_rejected")):
-        rows = rows.union(part)
-    outcome = rows.agg(*[F.coalesce(F.sum(F.when(F.col("name") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("inserted", "revised", "rows", "disputed", "conflicts", "rejected")])
-    outcome = outcome.select("inserted", "revised", F.expr("rows - disputed - inserted - revised").alias("unchanged"), "conflicts", "rejected")
-    return Upsert(state, revisions, outcome)
-
-
-def publish(spark, state: DataFrame, path: str, version: int) -> str:
-    """Write a state as a new version folder; readers take the version they were told, so a half-written one is never seen."""
-    at = f"{path.rstrip('/')}/v={version:08d}"
-    state.write.mode("errorifexists").parquet(at)
-    return at
+    """New state, revisions to append, and one row of counts, of one batch (a file). Keys in conflict within it leave the stored row alone."""
+    return _upserted(stored, batch, order, now, NATURAL_KEY)
+
+
+def upsert_files(stored: DataFrame, batch: DataFrame, order: str = "position", now: Column | None = None) -> Upsert:
+    """As ``upsert``, of many files (column ``file_seq``) one after the other: conflicts are those within a file, later files revise earlier ones."""
+    return _upserted(stored, batch, order, now, (*NATURAL_KEY, "file_seq"))
+
+
+def _upserted(stored: DataFrame, batch: DataFrame, order: str, now: Column | None, key: tuple[str, ...]) -> Upsert:
+    cut = collapse_duplicates(quantised(batch), order, key)
+    chain = replay(stored, cut.settled, "file_seq" if "file_seq" in key else order, now)
+    one = lambda k: F.count_if(F.col("kind") == k)
+    zero = F.lit(0).cast("long")
+    # One row of each kind of count, summed: every agreeing repeat in the batch counts as unchanged as well.
+    parts = cut.counts.select("rows", "disputed", "conflicts", zero.alias("rejected"), zero.alias("inserted"), zero.alias("revised"))
+    parts = parts.union(cut.conflicts.agg(zero, zero, zero, F.coalesce(F.sum("rows_rejected"), zero), zero, zero))
+    parts = parts.union(chain.agg(zero, zero, zero, zero, one("inserted"), one("revised")))
+    sums = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
+    outcome = sums.select("inserted", "revised", F.expr("rows - disputed - inserted - revised").alias("unchanged"), "conflicts", "rejected")
+    return Upsert(state_of(chain), revisions_of(chain, now), outcome, chain, cut.conflicts)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a store that have been written whole."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    named = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
+    return sorted(int(p.getName()[2:]) for p in named if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def publish(chain: DataFrame, path: str, version: int) -> bool:
+    """Write a chain as a version folder, once: a version written whole stays as it is, a half-written one is replaced. Whether it was written."""
+    spark = chain.sparkSession
+    if version in _versions(spark, path):
+        return False
+    chain.write.mode("overwrite").partitionBy("is_current").parquet(f"{path.rstrip('/')}/v={version:08d}")
+    return True
+
+
+def _chain_schema() -> str:
+    return TABLES["price_observations"].replace("ingested_at", "at") + ", kind string"
+
+
+def read_state(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
+    """The state of the last whole version, or of the last one below a number; empty without any."""
+    found = [v for v in _versions(spark, path) if below is None or v < below]
+    if not found:
+        return spark.createDataFrame([], TABLES["price_observations"])
+    rows = spark.read.schema(_chain_schema() + ", is_current boolean").parquet(f"{path.rstrip('/')}/v={found[-1]:08d}").filter("is_current")
+    return rows.select(*NATURAL_KEY, *FIGURE_COLUMNS, "revision_no", "source_file_sha256", F.col("at").alias("ingested_at"))
+
+
+def read_revisions(spark: SparkSession, path: str) -> DataFrame:
+    """All archived rows of a store, with the version that superseded them."""
+    out = spark.createDataFrame([], _chain_schema() + ", is_current boolean, version int")
+    for v in _versions(spark, path):
+        rows = spark.read.schema(_chain_schema() + ", is_current boolean").parquet(f"{path.rstrip('/')}/v={v:08d}")
+        out = out.unionByName(rows.filter("not is_current").withColumn("version", F.lit(v)))
+    return out.drop("is_current", "kind", "at")

@@ -3,64 +3,54 @@
 from __future__ import annotations
 
 import datetime as dt
+import html as entities
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import urljoin
+from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.dates import read_date
 from ..functions.text import canonical_url, collapse, filename_of, stem_of
 
-
-class _Anchors(HTMLParser):
-    """(href, text) of each link; a link inside another ends the outer one, an unclosed one ends with the page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str | None, str]] = []
-        self.open: tuple[str | None, list[str]] | None = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.end()
-            self.open = (dict(attrs).get("href"), [])
-
-    def handle_endtag(self, tag):
-        if tag == "a":
-            self.end()
-
-    def handle_data(self, data):
-        if self.open:
-            self.open[1].append(data)
-
-    def end(self):
-        if self.open:
-            href, text = self.open
-            self.found.append((href, " ".join("".join(text).split())))
-            self.open = None
-
-    @classmethod
-    def of(cls, html: str) -> list[tuple[str | None, str]]:
-        parser = cls()
-        parser.feed(html)
-        parser.close()
-        parser.end()
-        return parser.found
+#: Everything in a page that is no text: comments, scripts and styles with what they hold, and tags, of which a link's are told apart.
+MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(?P<end>/?)a(?=[\s/>])(?P<inside>(?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-z!?](?:[^>"']|"[^"]*"|'[^']*')*>""",
+    re.IGNORECASE | re.DOTALL,
+)
+HREF = re.compile(r"""(?<![^\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+LINKS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("position", pa.int32()), ("href", pa.string()), ("link_text", pa.string())])
+
+
+def links_of(html: str) -> list[tuple[str | None, str]]:
+    """(href, text) of each link. A link's text goes to the next tag of a link, opening or closing, or to the end of the page."""
+    marks = list(MARKUP.finditer(html))
+    edges = [i for i, m in enumerate(marks) if m["inside"] is not None]
+    found = []
+    for i, stop in pairwise([*edges, len(marks)]):
+        if marks[i]["end"]:
+            continue
+        # What stands between the tags up to the edge, in one.
+        ends = [m.end() for m in marks[i:stop]]
+        starts = [m.start() for m in marks[i + 1 : stop + 1]] + [len(html)] * (stop == len(marks))
+        text = "".join(html[a:b] for a, b in zip(ends, starts))
+        hrefs = HREF.findall(marks[i]["inside"])
+        found.append((entities.unescape("".join(hrefs[-1])) if hrefs else None, " ".join(entities.unescape(text).split())))
+    return found
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, url, position, href, link_text) of the links of each page (page_id, url, html). Entities are decoded."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, u, i, *a) for p, u, h in zip(b["page_id"], b["url"], b["html"]) for i, a in enumerate(_Anchors.of(h or ""))]
-            yield pd.DataFrame(rows, columns=["page_id", "url", "position", "href", "link_text"])
+            rows = [(p, u, i, *link) for p, u, h in zip(*(b.column(k).to_pylist() for k in range(3))) for i, link in enumerate(links_of(h or ""))]
+            if rows:
+                yield pa.record_batch([pa.array(list(c), f.type) for c, f in zip(zip(*rows), LINKS)], schema=LINKS)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, position int, href string, link_text string")
+    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, position int, href string, link_text string")
 
 
 def simple_anchors(pages: DataFrame) -> DataFrame:
@@ -71,35 +61,38 @@ def simple_anchors(pages: DataFrame) -> DataFrame:
     return out.select("page_id", "url", "position", F.col("a.href").alias("href"), collapse(F.col("a.text")).alias("link_text"))
 
 
-@F.pandas_udf(T.StringType())
-def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
-    def one(b, h):
-        try:
-            return urljoin(b or "", h)
-        except ValueError:
-            return None
-
-    return pd.Series([one(b, h) for b, h in zip(base, href)])
+def _dotless(path: Column) -> Column:
+    """A path without its . and .. steps; one that ends in such a step ends in a folder."""
+    steps = F.split(F.concat(path, F.when(path.rlike(r"(^|/)\.\.?$"), "/").otherwise("")), "/", -1)
+    walked = F.aggregate(
+        F.slice(steps, 2, F.size(steps)),
+        F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s))),
+        lambda kept: F.concat(F.lit("/"), F.array_join(kept, "/")),
+    )
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), walked).otherwise(path)
 
 
 def absolute(base: str, href: str) -> Column:
-    """A link's absolute address. The usual forms are Column expressions; only a relative path goes to Python."""
-    b, h = F.col(base), F.col(href)
-    origin = F.regexp_extract(b, r"(?i)^(https?://[^/?#]+)", 1)
-    scheme = F.regexp_extract(b, r"(?i)^(https?:)", 1)
-    plain = ~h.rlike(r"(^|/)\.\.?(/|$)")
+    """A link's absolute address, as a Column expression; null where the page's own address is not http(s) and the link needs it."""
+    b, h = F.col(base), F.trim(F.col(href))
+    root = F.nullif(F.regexp_extract(b, r"(?i)^https?://[^/?#]+", 0), F.lit(""))
+    folder = F.regexp_replace(F.regexp_extract(b, r"(?i)^https?://[^/?#]+([^?#]*)", 1), "[^/]*$", "")
+    path, rest = F.regexp_extract(h, "^[^?#]*", 0), F.regexp_extract(h, "[?#].*$", 0)
+    merged = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(F.when(folder == "", "/").otherwise(folder), path), "//+", "/"))
     return (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, h))
-        .when(h.startswith("/") & plain & (origin != ""), F.concat(origin, h))
-        .otherwise(_joined(b, h))
+        .when(h.startswith("//"), F.concat(F.regexp_extract(root, "^[^:]+:", 0), h))
+        .when(h.startswith("#"), F.concat(F.regexp_extract(b, "^[^#]*", 0), h))
+        .when(h.startswith("?"), F.concat(F.regexp_extract(b, "^[^?#]*", 0), h))
+        .otherwise(F.concat(root, _dotless(merged), rest))
     )
 
 
 def candidates(links: DataFrame, pattern: str) -> DataFrame:
-    """links with ``target`` (canonical), the ones that are http(s) and match the pattern; others are nobody's business."""
-    named = links.filter("coalesce(trim(href), '') <> ''").withColumn("target", canonical_url(absolute("url", "href")))
-    return named.filter(F.col("target").isNotNull() & F.col("target").rlike(pattern))
+    """links with ``target`` (canonical), the ones that are http(s) and whose address matches the pattern; others are nobody's business."""
+    named = links.filter("coalesce(trim(href), '') <> ''").withColumn("address", absolute("url", "href")).filter(F.col("address").rlike(pattern))
+    return named.withColumn("target", canonical_url(F.col("address"))).drop("address").filter(F.col("target").isNotNull())
 
 
 def first_sightings(found: DataFrame) -> DataFrame:

@@ -40,9 +40,37 @@ def verify(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
     return out.withColumn("problem", problem).filter("problem is not null").select("url", "sha256", "problem").orderBy("url")
 
 
+class CacheConflict(ValueError):
+    """A URL was fetched with other bytes than are on file."""
+
+
+def checked(fetched: DataFrame, manifest: DataFrame) -> DataFrame:
+    """fetched, refused if a URL of it has other bytes than the manifest has for it, or two versions itself."""
+    named = fetched.select(canonical_url(F.col("url")).alias("url"), F.sha2("content", 256).alias("sha256")).union(manifest.select("url", "sha256"))
+    bad = named.groupBy("url").agg(F.min("sha256").alias("least"), F.max("sha256").alias("greatest")).filter("url is not null and least <> greatest").first()
+    if bad:
+        raise CacheConflict(f"{bad.url} is stored as {bad.least} and as {bad.greatest}")
+    return fetched
+
+
+def stored_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(content, sha256, shard1, shard2) of the blobs on file; empty where nothing has been stored yet."""
+    schema = "content binary, sha256 string, shard1 string, shard2 string"
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
 def write_blobs(fetched: DataFrame, path: str) -> None:
-    """Append distinct contents, filed by the first two bytes of their digest."""
-    fetched.select("content", *address()).dropDuplicates(["sha256"]).write.mode("append").partitionBy("shard1", "shard2").parquet(path)
+    """Append the distinct contents that are not on file yet, filed by the first two bytes of their digest."""
+    new = fetched.select("content", *address()).dropDuplicates(["sha256"])
+    have = stored_blobs(fetched.sparkSession, path).select("sha256", "shard1", "shard2")
+    new.join(have, ["sha256", "shard1", "shard2"], "left_anti").select("content", "sha256", "shard1", "shard2").write.mode("append").partitionBy("shard1", "shard2").parquet(path)
+
+
+def entries(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Manifest rows with their contents, in the order of their names (the digest of the URL): what a new parse reads."""
+    return manifest.join(blobs.select("sha256", "content"), "sha256").withColumn("name", F.sha2("url", 256)).orderBy("name")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

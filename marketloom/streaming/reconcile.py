@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
-from ..schemas import TABLES
 
 
 def daily_prices(events: DataFrame, lateness: str = "14 days") -> DataFrame:
@@ -24,19 +23,18 @@ def first_sightings(urls: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 class Upserter:
-    """foreachBatch sink. A batch that runs again after a failure writes the same version and finds it there."""
+    """foreachBatch sink into a versioned store: a batch is one upsert on the last whole version below it.
+
+    Nothing is kept in memory. After a restart the state is read from the store; a batch that runs again finds its own version
+    written whole, and does nothing, or half-written, and replaces it. State and revisions are one write.
+    """
 
     def __init__(self, path: str):
-        self.path, self.version = path.rstrip("/"), None
+        self.path = path.rstrip("/")
 
     def current(self, spark: SparkSession) -> DataFrame:
-        if self.version is None:
-            return spark.createDataFrame([], TABLES["price_observations"])
-        return spark.read.schema(TABLES["price_observations"]).parquet(f"{self.path}/state/v={self.version:08d}")
+        return state.read_state(spark, self.path)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        made = state.upsert(self.current(spark), batch)
-        made.revisions.write.mode("overwrite").parquet(f"{self.path}/revisions/batch={batch_id:08d}")
-        made.state.write.mode("overwrite").parquet(f"{self.path}/state/v={batch_id:08d}")
-        self.version = batch_id
+        before = state.read_state(batch.sparkSession, self.path, below=batch_id)
+        state.publish(state.upsert(before, batch).chain, self.path, batch_id)

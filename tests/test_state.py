@@ -64,3 +64,23 @@ def test_collapse_and_chain_against_a_plain_model(spark):
         changes = [a for i, a in enumerate(own) if i == 0 or a != own[i - 1]]
         got = sorted((r for r in chain if r.observed_on.day == day), key=lambda r: r.revision_no)
         assert [str(int(r.average)) for r in got] == changes and [r.is_current for r in got] == [False] * (len(got) - 1) + [True]
+
+
+def test_files_revise_each_other_and_conflict_only_within_one(spark):
+    stored, _, _ = run(spark, spark.createDataFrame([], TABLES["price_observations"]), [(1, "10.00", "a"), (2, "20.00", "a")])
+    rows = batch(spark, [(1, "10.00", "b"), (1, "11.00", "c"), (2, "21.00", "c"), (2, "22.00", "c"), (1, "11.00", "d"), (3, "5.00", "d"), (1, "12.00", "e")])
+    rows = rows.withColumn("file_seq", F.ascii("source_file_sha256"))
+    up = state.upsert_files(stored, rows, now=F.lit("2026-08-02").cast("timestamp"))
+    got = {r.observed_on.day: (str(r.average), r.revision_no, r.source_file_sha256) for r in up.state.collect()}
+    assert got == {1: ("12.00", 2, "e"), 2: ("20.00", 0, "a"), 3: ("5.00", 0, "d")}
+    assert sorted((r.revision_no, str(r.average), r.source_file_sha256) for r in up.revisions.collect()) == [(0, "10.00", "a"), (1, "11.00", "c")]
+    assert up.outcome.first().asDict() == dict(inserted=1, revised=2, unchanged=2, conflicts=1, rejected=2)
+
+
+def test_invalid_rows_are_told_apart(spark):
+    from marketloom.schemas import MONEY
+
+    df = spark.createDataFrame([(1, 5.0, 4.0, False), (2, 5.0, 5.0, True), (3, None, None, True), (4, 1.0, 2.0, False)], "id int, low double, high double, unavailable boolean")
+    df = df.selectExpr("id", *[f"cast({a} as {MONEY}) as {b}" for a, b in (("low", "low"), ("high", "high"), ("high", "prevailing"), ("low", "average"))], "unavailable")
+    good, bad = state.valid(df)
+    assert {r.id for r in good.collect()} == {3, 4} and {r.id: r.invalid_reason for r in bad.collect()} == {1: "low 5.00 is above high 4.00", 2: "unavailable with prices"}
