@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..schemas import INPUT_GROUPS, PageRequest
 
 
+#: The spans that the chart offers.
+CHART_DAYS = (30, 90, 365)
+
+
 def page(df: DataFrame, order: list, request: PageRequest = PageRequest()) -> DataFrame:
     """One page; ``order`` has to end in a unique key. Spark keeps only offset + limit rows of each task."""
     return df.orderBy(*order).offset(request.offset).limit(request.limit)
@@ -20,20 +24,51 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
+def dated(facts: DataFrame, date_from: dt.date | None = None, date_to: dt.date | None = None) -> DataFrame:
+    if date_from:
+        facts = facts.filter(F.col("observed_on") >= F.lit(date_from))
+    if date_to:
+        facts = facts.filter(F.col("observed_on") <= F.lit(date_to))
+    return facts
+
+
+def presented(facts: DataFrame, commodities: DataFrame, markets: DataFrame, sources: DataFrame) -> DataFrame:
+    """Facts with what their dimensions say: the commodity's group, specification and unit, the market's name, town and region, the source's name."""
+    c = commodities.select(F.col("name").alias("commodity"), F.col("group"), "specification", "unit")
+    m = markets.select(F.col("id").alias("market"), F.col("name").alias("market_name"), "municipality", "region_psgc_code")
+    s = sources.select(F.col("slug").alias("source"), F.col("name").alias("source_name"))
+    return facts.join(c, "commodity").join(m, "market").join(s, "source")
+
+
+def chart(facts: DataFrame, commodity: str, days: int, until: dt.date, region: str | None = None, markets: DataFrame | None = None) -> DataFrame:
+    """What a chart of one commodity shows: its last days up to a date, in pages of at most 500."""
+    if days not in CHART_DAYS:
+        raise ValueError(f"days must be one of {CHART_DAYS}, got {days}")
+    found = observations(facts, commodity=commodity, date_from=until - dt.timedelta(days=days), region=region, markets=markets)
+    return page(found, ["observed_on", "market", "source"], PageRequest(500))
+
+
+def commodity(dim: DataFrame, slug: str) -> DataFrame:
+    """The one commodity with this slug, with the farm-input flag; no row if there is none."""
+    return commodities(dim.filter(F.col("canonical_slug") == slug)).limit(1)
+
+
 def observations(
     facts: DataFrame, commodity: str | None = None, market: int | None = None, source: str | None = None,
-    date_from: dt.date | None = None, date_to: dt.date | None = None, include_unavailable: bool = False,
+    date_from: dt.date | None = None, date_to: dt.date | None = None, include_unavailable: bool = False, region: str | None = None, markets: DataFrame | None = None,
 ) -> DataFrame:
-    """Facts that match what is given; both ends of the dates included. Blank strings mean no filter."""
+    """Facts that match what is given; both ends of the dates included. Blank strings mean no filter. A region is that of the market, by ``markets``."""
     if date_from and date_to and date_from > date_to:
         raise ValueError(f"{date_from} is after {date_to}")
     for name, value in (("commodity", commodity), ("market", market), ("source", source)):
         if value is not None and value != "":
             facts = facts.filter(F.col(name) == value)
-    if date_from:
-        facts = facts.filter(F.col("observed_on") >= F.lit(date_from))
-    if date_to:
-        facts = facts.filter(F.col("observed_on") <= F.lit(date_to))
+    if region:
+        if markets is None:
+            raise ValueError("a region is looked up in markets")
+        own = markets.filter(F.col("region_psgc_code") == region).select(F.col("id").alias("market"))
+        facts = facts.join(own, "market", "left_semi")
+    facts = dated(facts, date_from, date_to)
     return facts if include_unavailable else facts.filter("not unavailable")
 
 

@@ -28,6 +28,11 @@ def per_stage(quarantine: DataFrame) -> DataFrame:
     return quarantine.groupBy("stage").agg(F.count("*").alias("rows"), F.min("reason").alias("example_reason")).orderBy(F.desc("rows"), "stage")
 
 
+def quarantined_total(quarantine: DataFrame) -> DataFrame:
+    """All quarantined rows, as the sum over the stages."""
+    return per_stage(quarantine).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("quarantined"))
+
+
 def totals(observations: DataFrame) -> DataFrame:
     impossible = F.col("average").isNotNull() & ((F.col("average") < F.col("low")) | (F.col("average") > F.col("high")))
     return observations.agg(

@@ -7,10 +7,13 @@ array grows without bound.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import RobustConfig
+from . import pages
 
 MAD_TO_SIGMA = 0.6745
 MEAN_AD_TO_SIGMA = 1.253314
@@ -85,6 +88,16 @@ def flag_series(observations: DataFrame, config: RobustConfig = RobustConfig(),
     )
 
 
+def flagged_observations(
+    facts: DataFrame, config: RobustConfig = RobustConfig(), commodity: str | None = None, market: int | None = None, region: str | None = None,
+    markets: DataFrame | None = None, date_from: dt.date | None = None, date_to: dt.date | None = None,
+) -> DataFrame:
+    """``flag_series`` of the facts that match, blank ones included. Filters come before the windows: what they leave out is nobody's neighbour, and an empty range of dates has no rows."""
+    if date_from and date_to and date_from > date_to:
+        return flag_series(facts.filter("false"), config)
+    return flag_series(pages.observations(facts, commodity, market, None, date_from, date_to, True, region, markets), config)
+
+
 def anomalies(flagged: DataFrame, only_flagged: bool = True) -> DataFrame:
     """Rows to show, in order of date and market; an infinite score has no number to show and is null."""
     out = flagged.filter("is_anomaly or is_impossible") if only_flagged else flagged

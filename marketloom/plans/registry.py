@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.dates import read_date
+from ..functions.dates import MONTHS, SHORT, read_date
 from ..operators import movers, pages, quality, resolve, robust, state
 from ..schemas import PageRequest, RobustConfig
 from ..sources import listing, rawstore, sheets
@@ -53,10 +53,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import sheet_queries  # noqa: F401  registers its queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -82,8 +85,7 @@ def observations_unavailable(spark, sf):
 
 @query(f"SELECT commodity, market, observed_on::VARCHAR AS observed_on, average FROM ({b.SHIPMENTS_SQL}) WHERE NOT unavailable AND market IN (SELECT id FROM ({b.MARKETS_SQL}) WHERE region_psgc_code = '1')")
 def observations_by_region(spark, sf):
-    own = b.markets(spark, sf).filter("region_psgc_code = '1'").select(F.col("id").alias("market"))
-    return pages.observations(b.shipments(spark, sf)).join(own, "market").select("commodity", "market", "observed_on", "average")
+    return pages.observations(b.shipments(spark, sf), region="1", markets=b.markets(spark, sf)).select("commodity", "market", "observed_on", "average")
 
 
 @query(f"SELECT count(*) AS total FROM ({b.OBSERVATIONS_SQL}) WHERE NOT unavailable")
@@ -147,13 +149,9 @@ def movers_as_of(spark, sf):
 def movers_region(spark, sf):
     """Farm inputs are left out; the anchor is the latest date of all observations."""
     facts = b.shipments(spark, sf)
-    anchor = facts.agg(F.max("observed_on").alias("anchor"))
-    own = b.markets(spark, sf).filter("region_psgc_code = '1'").select(F.col("id").alias("market"))
     food = pages.commodities(b.commodities(spark, sf), include_inputs=False).select(F.col("name").alias("commodity"))
-    kept = facts.join(own, "market").join(food, "commodity")
-    # A row at the anchor without price keeps the window where it is, and is no mover itself.
-    edge = anchor.select(*[F.lit(None).cast(t).alias(c) if c != "observed_on" else F.col("anchor").alias(c) for c, t in facts.select(*kept.columns).dtypes])
-    return _moved(movers.movers(kept.unionByName(edge), 365))
+    own = pages.observations(facts, region="1", markets=b.markets(spark, sf), include_unavailable=True)
+    return _moved(movers.movers(own.join(food, "commodity", "left_semi"), 365, movers.latest(facts)))
 
 
 def _anomaly_sql(rows: str, window: int, threshold: float, flagged: bool) -> str:
@@ -378,6 +376,11 @@ t AS (SELECT page_id, position, CASE WHEN href LIKE 'http%' THEN href ELSE regex
 c AS (SELECT page_id, position, lower(regexp_extract(u, '^(https?://[^/?#]+)', 1)) || regexp_extract(u, '^https?://[^/?#]+([^#]*)', 1) AS target FROM t)"""
 
 
+#: The reason why a text without figures is no date: it has no month, or no year.
+_MONTHS = "'" + "', '".join([*MONTHS, *SHORT]) + "'"
+_READ = "CASE WHEN len(list_filter(string_split_regex(lower({x}), '[-_/.,()\\[\\]:;|+\\s]+'), lambda w: w IN (" + _MONTHS + "))) > 0 THEN 'no four-digit year found' ELSE 'no month name found' END"
+
+
 @query(f"{_LINKS} SELECT page_id, position, target FROM c WHERE regexp_matches(target, '{PATTERN}')")
 def index_candidates(spark, sf):
     return listing.candidates(listing.simple_anchors(b.table(spark, sf, "pages")), PATTERN).select("page_id", "position", "target")
@@ -389,7 +392,12 @@ def index_dedup(spark, sf):
     return listing.first_sightings(found).select("page_id", "position", "target", "times")
 
 
-@query()
+@query(rf"""{_LINKS}, f AS (SELECT target, count(*) AS times FROM c WHERE regexp_matches(target, '{PATTERN}') GROUP BY target), x AS (
+  SELECT target, times, arg_min(t, (page_id, position)) AS t FROM f JOIN (
+    SELECT c.target, c.page_id, c.position, l.t FROM c JOIN (SELECT page_id, generate_subscripts(m, 1) - 1 AS position, unnest(m) AS t FROM (
+      SELECT page_id, regexp_extract_all(html, '<a\s[^>]*?href="[^"]*"[^>]*>([^<]*)', 1) AS m FROM pages)) l ON c.page_id = l.page_id AND c.position = l.position) USING (target) GROUP BY ALL
+), w AS (SELECT target, times, {_READ.format(x="t")} AS r1, {_READ.format(x="regexp_replace(regexp_extract(target, '[^/]*$'), '(.)[.][^.]*$', '$1')")} AS r2 FROM x)
+SELECT target, times, NULL AS observed_on, NULL AS date_source, false AS is_revision, false AS month_was_corrected, 'no date in link text (' || r1 || ') nor in filename (' || r2 || ')' AS reason FROM w""")
 def index_entries(spark, sf):
     """Every link of every page by the full reader, with its date or the reason why it has none."""
     judged = listing.entries(listing.candidates(listing.anchors(b.table(spark, sf, "pages")), PATTERN))
@@ -439,7 +447,8 @@ def collapse_text(spark, sf):
     return d.select("doc_id", F.md5(text.collapse(F.col("text"))).alias("collapsed"))
 
 
-@query()
+@query("""SELECT o_orderkey, 'Daily-Price-Index-' || CASE WHEN fixed THEN substr(m, 1, 3) || substr(m, 3) ELSE m END || strftime(o_orderdate, '-%-d-%Y') AS said, o_orderdate::DATE::VARCHAR AS expected,
+  o_orderdate::DATE::VARCHAR AS read, NULL AS reason, fixed AS corrected FROM (SELECT *, strftime(o_orderdate, '%B') AS m, length(strftime(o_orderdate, '%B')) > 5 AND o_orderkey % 3 = 0 AS fixed FROM orders)""")
 def read_date_fuzzy(spark, sf):
     """Order dates written by hand, with some months misspelled: every one is read back."""
     o = b.table(spark, sf, "orders")

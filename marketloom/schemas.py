@@ -67,3 +67,12 @@ class RobustConfig:
                 raise ValueError(f"{name} must be at least {least}, got {getattr(self, name)}")
         if self.threshold <= 0:
             raise ValueError(f"threshold must be positive, got {self.threshold}")
+
+    @classmethod
+    def requested(cls, window: int = 9, threshold: float = 3.5) -> RobustConfig:
+        """Settings as a request may give them: a window of 3 to 61 observations, a threshold above 0 and up to 50."""
+        if not 3 <= window <= 61:
+            raise ValueError(f"window must be 3 to 61, got {window}")
+        if not 0 < threshold <= 50:
+            raise ValueError(f"threshold must be above 0 and at most 50, got {threshold}")
+        return cls(window=window, threshold=threshold)
