@@ -1,4 +1,4 @@
-"""How often the mix takes each document: the ratios of ``mixing`` in full, where ``op2_mix_sources`` stops at one."""
+"""How often the mix takes each document when none is left out for want of more: the ratios of ``mixing`` in full."""
 
 from __future__ import annotations
 
@@ -8,19 +8,9 @@ from pyspark.sql import functions as F
 from . import mixing
 from .common import documents
 
+SQL = mixing.COPIES_SQL
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
     return mixing.mix(docs).select("doc_id", "n_tokens", "source", "lang", F.col("m_topic").alias("topic"), F.round("ratio", 6).alias("ratio"), "copies")
-
-
-def _sql() -> str:
-    last = mixing.PASSES * len(mixing.MARGINS)
-    steps, _ = mixing.SQL.rsplit("\nSELECT doc_id, n_tokens", 1)
-    return f"""{steps}
-SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(r, 6) AS ratio,
-       floor(r)::BIGINT + (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < r - floor(r))::BIGINT AS copies
-FROM (SELECT d.*, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1.0 END AS r FROM d JOIN w{last} USING (m_source, m_lang, m_topic))"""
-
-
-SQL = _sql()

@@ -1,38 +1,48 @@
 """Mixing sources to target weights by iterative proportional fitting (raking), then sampling.
 
 Tokens are summed by cell (source, language, topic) before anything else, so fitting works on a table of
-cells, not of documents. Each pass scales the cells to one marginal after the other until all three sum to
-their targets; a document is then kept with its cell's probability, by a hash of its id, so that the same
-documents are kept on every run and on every cluster.
+cells, not of documents. Each pass scales the cells to one marginal after the other; passes end when what is left over on
+every marginal (the residual) is small. A cell's ratio is its calibrated weight to its tokens. It is sampled in two ways, both by a hash
+of the id, so that the same documents are taken on every run and on every cluster:
 
-Targets are shares per value of a marginal. Without given ones they are the observed shares raised to
-``TEMPER``, which moves weight from large values to small ones. The ratio of a cell's calibrated weight to its tokens
-says how often its documents are taken: below one it is the probability to be kept, above one its whole part is the
-number of copies and its fraction the probability of one more. So the tokens taken have the fitted marginals (in the
-mean over the hash) and about the total that came in; ``probability`` and ``kept`` alone, which stop at one, have not.
+* ``probability``, the ratio over the largest ratio: the kept documents have the fitted marginals, and nothing is taken twice.
+* ``copies``, the whole part of the ratio and one more with the probability of its fraction: about as many tokens as came in.
+
+Targets are shares per value of a marginal. Without given ones they are the observed shares raised to ``TEMPER``, which
+moves weight from large values to small ones.
 
 Cases: null source or language is a value of its own; null or empty texts have no tokens and go with their cell; a
-value without a target keeps its observed share; rows that share a doc_id have one fate within a cell; cells without
-tokens keep all rows; columns of the input stay; an empty table gives an empty result.
+value without a target keeps its observed share; a target that no cell can serve (a value without tokens, margins that
+contradict each other) stays as residual; rows that share a doc_id have one fate within a cell; cells without tokens keep
+all rows, once; columns of the input stay, but those named like an added one are replaced; very long texts are one row
+like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, small_or_not, stored
 from .quality import SPACE
 
 MARGINS = ("source", "lang", "topic")
-PASSES = 8
+KEYS = [f"m_{m}" for m in MARGINS]
+ADDED = ("n_tokens", *KEYS, "ratio", "probability", "copies", "kept")
+#: The residual (of the total) at which passes end, and at most so many passes.
+TOLERANCE, PASSES = 1e-12, 200
+LARGEST = 1e60
+#: Up to so many cells (of about 100 bytes) are fitted in one row of arrays, without an exchange; more stay a table.
+CELLS = 1 << 16
 TEMPER = 0.7
 SEED = 17
 
 #: The topic is what a text is made of: rows of a table, prose with figures, or prose.
 TOPIC = "CASE WHEN text LIKE '%|%|%' THEN 'table' WHEN text RLIKE '[0-9]{4}' THEN 'figures' ELSE 'prose' END"
+#: Tokens are counted as words, unless the caller has counts.
+TOKENS = f"bigint(size(filter(split(coalesce(text, ''), r'{SPACE}', -1), w -> w <> '')))"
 
 
 def uniform(of: str = "doc_id", seed: int = SEED) -> Column:
@@ -41,98 +51,162 @@ def uniform(of: str = "doc_id", seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens (words) and the three marginals as never-null ``m_`` columns."""
-    words = F.size(F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), SPACE, -1), lambda w: w != ""))
+def with_cells(docs: DataFrame, topic: str = TOPIC, tokens: str = TOKENS) -> DataFrame:
+    """docs with n_tokens and the three marginals as never-null ``m_`` columns. topic, tokens: SQL over the columns of docs."""
     null = F.lit("(none)")
     return docs.withColumns({
-        "n_tokens": words.cast("long"), "m_source": F.coalesce("source", null), "m_lang": F.coalesce("lang", null),
-        "m_topic": F.coalesce(F.expr(TOPIC), F.lit("prose")),
+        "n_tokens": F.coalesce(F.expr(tokens).cast("long"), F.lit(0)), "m_source": F.coalesce(F.col("source"), null), "m_lang": F.coalesce(F.col("lang"), null),
+        "m_topic": F.coalesce(F.expr(topic), F.lit("prose")),
     })
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, passes: int = PASSES) -> DataFrame:
-    """cells (m_source, m_lang, m_topic, tokens) with ``weight``: calibrated tokens, of the same total.
-
-    Each step sums the cells by one marginal (combined before the shuffle) and joins the ratios back.
-    """
-    targets = targets or {}
-    spark = cells.sparkSession
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    wanted = {}
+def _targets(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """cells with t_source, t_lang and t_topic: the tokens that the cell's value of each marginal should have."""
+    all_cells = Window.partitionBy()
+    out = cells.withColumn("total", F.sum("tokens").over(all_cells).cast("double"))
     for m in MARGINS:
-        observed = cells.groupBy(f"m_{m}").agg(F.sum("tokens").cast("double").alias("tokens"))
-        share = F.pow("tokens", F.lit(TEMPER))
+        value = Window.partitionBy(f"m_{m}")
+        own = F.sum("tokens").over(value).cast("double")
+        share = F.pow(own, F.lit(TEMPER))
         if given := targets.get(m):
-            table = spark.createDataFrame([(k, float(v)) for k, v in given.items()], f"m_{m} string, share double")
-            observed = observed.join(F.broadcast(table), f"m_{m}", "left")  # as long as the argument
-            share = F.coalesce("share", F.col("tokens") / F.lit(total))
-        shared = stored(observed.select(f"m_{m}", share.alias("s")), "shares")
-        whole = float(shared.agg(F.sum("s")).first()[0] or 1)
-        wanted[m] = shared.select(f"m_{m}", (F.col("s") / F.lit(whole) * F.lit(total)).alias("target"))
-    for _ in range(passes):
+            known = F.create_map(*[F.lit(x) for pair in given.items() for x in (pair[0], float(pair[1]))])
+            share = F.coalesce(F.element_at(known, F.col(f"m_{m}")), F.when(F.col("total") > 0, own / F.col("total")), F.lit(0.0))
+        # A value's share stands in each of its cells, and is summed once.
+        out = out.withColumns({"_s": share, "_n": F.count("*").over(value)}).withColumn("_all", F.sum(F.col("_s") / F.col("_n")).over(all_cells))
+        out = out.withColumn(f"t_{m}", F.when(F.col("_all") > 0, F.col("_s") / F.col("_all") * F.col("total")).otherwise(0.0)).drop("_s", "_n", "_all")
+    return out
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, cells_together: int = CELLS) -> DataFrame:
+    """cells (m_source, m_lang, m_topic, tokens) with ``weight``: calibrated tokens, of the same total, and ``residual``: the largest
+    difference of a marginal from its target, as a part of the total, before the last pass.
+
+    A weight is the tokens times a factor for each of its three values. Where the counted cells are few, the factors are arrays of
+    one row and all passes one expression; else each pass is a table with window sums for marginals.
+    """
+    few = cells.count() <= cells_together
+    wanted = _targets(cells.coalesce(1) if few else cells, targets or {})
+    return _in_one_row(wanted) if few else _by_tables(wanted)
+
+
+def _in_one_row(wanted: DataFrame) -> DataFrame:
+    numbered = stored(wanted.withColumns({f"i_{m}": F.dense_rank().over(Window.orderBy(f"m_{m}")) - 1 for m in MARGINS}), "numbered").coalesce(1)
+
+    def lists(m: str) -> DataFrame:
+        """Each value of a marginal by number, with its target and cells: the numbers of their two other values, and tokens."""
+        p, q = (x for x in MARGINS if x != m)
+        cell = F.collect_list(F.struct(F.col(f"i_{p}").alias("p"), F.col(f"i_{q}").alias("q"), F.col("tokens").cast("double").alias("n")))
+        return numbered.groupBy(F.lit(m).alias("margin"), F.col(f"i_{m}").alias("i"), F.col(f"m_{m}").alias("v")).agg(F.first(f"t_{m}").alias("t"), cell.alias("cells"))
+
+    rows = lists("source").union(lists("lang")).union(lists("topic")).coalesce(1)
+    one = rows.groupBy().agg(*[F.sort_array(F.collect_list(F.when(F.col("margin") == m, F.struct("i", "v", "t", "cells")))).alias(m) for m in MARGINS])
+    one = one.withColumn("total", F.expr("aggregate(source, 0D, (a, x) -> a + x.t)"))
+
+    def solved(m: str, f: str, g: str) -> str:
+        """The factors of a marginal that meet its targets, given the other two."""
+        return f"transform({m}, x -> transform(array(aggregate(x.cells, 0D, (acc, y) -> acc + y.n * {f}[y.p] * {g}[y.q])), z -> if(z > 0, x.t / z, 1D))[0])"
+
+    def off(m: str, old: str, new: str) -> str:
+        return f"coalesce(array_max(zip_with({m}, zip_with({old}, {new}, (o, w) -> if(w > 0, abs(o / w - 1), 0D)), (x, e) -> e * x.t)), 0D)"
+
+    # Targets that contradict each other drive factors apart without end: the last ones within bounds stay.
+    step = f"""transform(transform(transform(array({solved("source", "s.b", "s.c")}), a -> struct(a, {solved("lang", "a", "s.c")} as b)),
+        u -> struct(u.a as a, u.b as b, {solved("topic", "u.a", "u.b")} as c, if(total > 0, greatest({off("source", "s.a", "u.a")}, {off("lang", "s.b", "u.b")}) / total, 0D) as off)),
+        u -> if(greatest(array_max(u.a), array_max(u.b), array_max(u.c)) > {LARGEST}D, struct(s.a as a, s.b as b, s.c as c, s.off as off, true as done),
+                struct(u.a as a, u.b as b, u.c as c, u.off as off, u.off <= {TOLERANCE}D as done)))[0]"""
+    begin = ", ".join(f"transform({m}, x -> 1D) as {f}" for m, f in zip(MARGINS, "abc"))
+    fit = one.withColumn("fit", F.expr(f"aggregate(sequence(1, {PASSES}), struct({begin}, 1D as off, false as done), (s, k) -> if(s.done, s, {step}))"))
+    flat = """flatten(transform(source, (x, i) -> transform(x.cells, y -> struct(x.v as m_source, lang[y.p].v as m_lang, topic[y.q].v as m_topic, bigint(y.n) as tokens,
+        y.n * fit.a[i] * fit.b[y.p] * fit.c[y.q] as weight, fit.off as residual))))"""
+    return fit.select(F.expr(f"inline({flat})"))
+
+
+def _by_tables(wanted: DataFrame) -> DataFrame:
+    now = wanted.withColumn("weight", F.col("tokens").cast("double"))
+    for _ in range(PASSES):
         for m in MARGINS:
-            sums = now.groupBy(f"m_{m}").agg(F.sum("weight").alias("sum")).join(wanted[m], f"m_{m}")
-            ratio = sums.select(f"m_{m}", F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(1.0).alias("ratio"))
-            now = now.join(ratio, f"m_{m}").withColumn("weight", F.col("weight") * F.col("ratio")).drop("ratio")
-        now = stored(now, "raked")  # one short table a pass: the plan stays small
-    return now
-
-
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, passes: int = PASSES) -> DataFrame:
-    """docs with n_tokens, the marginals, ``ratio``, ``probability``, ``copies`` and ``kept`` (at least one copy)."""
-    given = with_cells(docs)
-    keys = [f"m_{m}" for m in MARGINS]
-    cells = stored(given.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")), "cells")
+            now = now.withColumn("_sum", F.sum("weight").over(Window.partitionBy(f"m_{m}")))
+            now = now.withColumns({
+                "weight": F.when(F.col("_sum") > 0, F.col("weight") * F.col(f"t_{m}") / F.col("_sum")).otherwise(F.col("weight")),
+                f"o_{m}": F.when(F.col("total") > 0, F.abs(F.col("_sum") - F.col(f"t_{m}")) / F.col("total")).otherwise(0.0),
+            })
+        now = now.withColumn("residual", F.greatest(*[F.col(f"o_{m}") for m in MARGINS])).drop("_sum", *[f"o_{m}" for m in MARGINS])
+        now = stored(now, "raked")  # a table a pass: the plan stays small
+        worst = now.agg(F.max("residual")).first()[0] or 0.0
+        if worst <= TOLERANCE:
+            break
+    return now.select(*KEYS, "tokens", "weight", F.lit(worst).alias("residual"))
+
+
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, topic: str = TOPIC, tokens: str = TOKENS) -> DataFrame:
+    """docs with n_tokens, the marginals, ``ratio``, ``probability`` and ``kept``, and ``copies``."""
+    own = [c for c in docs.columns if c not in ADDED]
+    packed = with_cells(docs, topic, tokens).select(F.struct(*own).alias("doc"), "n_tokens", *KEYS)
+    cells = stored(packed.groupBy(*KEYS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    fitted = rake(cells, targets, passes).select(*keys, ratio.alias("ratio"), F.least(F.lit(1.0), ratio).alias("probability"))
-    whole = F.floor("ratio")
-    copies = whole + (uniform() < F.col("ratio") - whole).cast("long")
-    return given.join(fitted, keys).withColumns({"copies": copies, "kept": uniform() < F.col("probability")})
+    most = F.max(F.when(F.col("tokens") > 0, F.col("ratio"))).over(Window.partitionBy())
+    fitted = rake(cells, targets).withColumn("ratio", ratio).withColumn("probability", F.when(F.col("tokens") > 0, F.col("ratio") / most).otherwise(1.0))
+    fitted = stored(fitted.select(*KEYS, "ratio", "probability"), "fitted")
+    both = packed.join(small_or_not(fitted, fitted.count(), 200), KEYS)
+    u, whole = uniform("doc.doc_id"), F.floor("ratio")
+    taken = both.withColumns({"copies": whole + (u < F.col("ratio") - whole).cast("long"), "kept": u < F.col("probability")})
+    return taken.select("doc.*", *ADDED)
 
 
-def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, topic: str = TOPIC, tokens: str = TOKENS) -> DataFrame:
     """The documents as often as the calibrated ratios take them, with the columns they came with."""
-    packed = docs.select(F.struct("*").alias("doc"), "doc_id", "text", "source", "lang")
-    taken = mix(packed, targets).filter("copies > 0").select("doc", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    packed = docs.select(F.struct("*").alias("doc"), *[c for c in docs.columns if c != "doc"])
+    taken = mix(packed, targets, topic, tokens).filter("copies > 0").select("doc", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
     return taken.select("doc.*")
 
 
+def achieved(mixed: DataFrame, copies: bool = False) -> DataFrame:
+    """For each value of each marginal: its share of all tokens, of those kept (or taken by copies)."""
+    times = F.col("copies") if copies else F.col("kept").cast("long")
+    value = F.explode(F.array(*[F.struct(F.lit(m).alias("margin"), F.col(f"m_{m}").alias("value")) for m in MARGINS])).alias("v")
+    sums = mixed.groupBy(*KEYS).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * times).alias("k")).select(value, "n", "k").groupBy("v").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    margin = Window.partitionBy("v.margin")
+    return sums.select("v.*", (F.col("n") / F.sum("n").over(margin)).alias("observed"), (F.col("k") / F.sum("k").over(margin)).alias("achieved"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
     return mix(docs).select("doc_id", "n_tokens", "source", "lang", F.col("m_topic").alias("topic"), F.round("probability", 6).alias("probability"), "kept")
 
 
-def _sql() -> str:
+def _fitted_sql(passes: int = 80) -> str:
+    """Cells with their ratio r, from the definition: weight = tokens * a(source) * b(lang) * c(topic), each factor solved for its marginal in turn."""
     null = "'(none)'"
     steps = [
         f"""
-WITH d AS (
+WITH d AS MATERIALIZED (
   SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
          coalesce(source, {null}) AS m_source, coalesce(lang, {null}) AS m_lang,
          CASE WHEN text LIKE '%|%|%' THEN 'table' WHEN regexp_matches(text, '[0-9]{{4}}') THEN 'figures' ELSE 'prose' END AS m_topic
   FROM documents
-), w0 AS MATERIALIZED (
-  SELECT m_source, m_lang, m_topic, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE AS weight FROM d GROUP BY ALL
-)"""
+), cell AS MATERIALIZED (SELECT m_source, m_lang, m_topic, sum(n_tokens)::DOUBLE AS n FROM d GROUP BY ALL)"""
     ]
     for m in MARGINS:
-        steps.append(f"""t_{m} AS MATERIALIZED (
-  SELECT m_{m}, s / sum(s) OVER () * sum(tokens) OVER () AS target
-  FROM (SELECT m_{m}, sum(tokens)::DOUBLE AS tokens, pow(sum(tokens)::DOUBLE, {TEMPER}) AS s FROM w0 GROUP BY m_{m}))""")
-    k = 0
-    for _ in range(PASSES):
-        for m in MARGINS:
-            steps.append(f"""w{k + 1} AS MATERIALIZED (
-  SELECT w.* REPLACE (CASE WHEN s > 0 THEN w.weight * t.target / s ELSE w.weight END AS weight)
-  FROM (SELECT *, sum(weight) OVER (PARTITION BY m_{m}) AS s FROM w{k}) w0s JOIN t_{m} t USING (m_{m}) JOIN w{k} w USING (m_source, m_lang, m_topic))""")
-            k += 1
-    final = f"""
-SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(p, 6) AS probability,
-       ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < p AS kept
-FROM (SELECT d.*, CASE WHEN tokens > 0 THEN least(1.0, weight / tokens) ELSE 1.0 END AS p FROM d JOIN w{k} USING (m_source, m_lang, m_topic))"""
-    return ", ".join(steps) + final
-
-
-SQL = _sql()
+        steps.append(f"""want_{m} AS MATERIALIZED (
+  SELECT m_{m}, pow(n, {TEMPER}) / sum(pow(n, {TEMPER})) OVER () * (SELECT sum(n) FROM cell) AS t FROM (SELECT m_{m}, sum(n) AS n FROM cell GROUP BY m_{m})),
+{m}0 AS MATERIALIZED (SELECT m_{m}, 1.0::DOUBLE AS f FROM want_{m})""")
+    for k in range(1, passes + 1):
+        for i, m in enumerate(MARGINS):
+            p, q = (x for x in MARGINS if x != m)
+            at = {x: k if MARGINS.index(x) < i else k - 1 for x in (p, q)}
+            steps.append(f"""{m}{k} AS MATERIALIZED (
+  SELECT m_{m}, CASE WHEN s > 0 THEN t / s ELSE 1 END AS f FROM want_{m} JOIN (
+    SELECT m_{m}, sum(n * x.f * y.f) AS s FROM cell JOIN {p}{at[p]} x USING (m_{p}) JOIN {q}{at[q]} y USING (m_{q}) GROUP BY m_{m}) USING (m_{m}))""")
+    a, b, c = (f"{m}{passes}" for m in MARGINS)
+    steps.append(f"""fit AS MATERIALIZED (
+  SELECT m_source, m_lang, m_topic, n, CASE WHEN n > 0 THEN a.f * b.f * c.f ELSE 1 END AS r FROM cell JOIN {a} a USING (m_source) JOIN {b} b USING (m_lang) JOIN {c} c USING (m_topic))""")
+    return ", ".join(steps)
+
+
+UNIFORM_SQL = f"('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0"
+SQL = f"""{_fitted_sql()}
+SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(p, 6) AS probability, {UNIFORM_SQL} < p AS kept
+FROM d JOIN (SELECT *, CASE WHEN n > 0 THEN r / (SELECT max(r) FROM fit WHERE n > 0) ELSE 1 END AS p FROM fit) USING (m_source, m_lang, m_topic)"""
+COPIES_SQL = f"""{_fitted_sql()}
+SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(r, 6) AS ratio, floor(r)::BIGINT + ({UNIFORM_SQL} < r - floor(r))::BIGINT AS copies
+FROM d JOIN fit USING (m_source, m_lang, m_topic)"""
