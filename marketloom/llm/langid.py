@@ -6,8 +6,10 @@ matrix has languages x buckets cells, whose number is checked before it is broad
 grow with the rows. Scoring gathers matrix rows by bucket and adds them per text, in numpy.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; rows with null text or null
-language are not learned from; repeated rows count as often as they occur; of languages with equal
-scores the first by name wins; without a single row to learn from every text is ``und``.
+language are not learned from; a row without doc_id is not held out; repeated rows count as often as they occur; of languages with equal
+scores the first by name wins; without a single row to learn from every text is ``und``; very long texts are counted and scored whole,
+piece by piece; columns named in ``keep`` pass through, others are not read; an empty table gives an empty result. The matrix
+has at most MATRIX_CELLS cells, 512 languages of BUCKETS each: more are refused, with the advice to take fewer buckets.
 """
 
 from __future__ import annotations
@@ -158,7 +160,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
 
 
 def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a document is kept out of training; one without doc_id is not."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
