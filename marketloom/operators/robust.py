@@ -1,8 +1,7 @@
 """Outliers of a series by leave-one-out rolling median and median absolute deviation.
 
-Each series is one array in date order; a point looks at slices of it. That is one shuffle by series, and all arithmetic
-stays in the JVM. A series longer than CHUNK points is cut into chunks, each with a halo of a window on both sides, so no
-array grows without bound.
+Each series is one array in date order, and a point looks at slices of it: one shuffle by series, and all arithmetic stays in the JVM.
+A series has a point for each day and source, so the calendar bounds its array (some 36,500 points in a century, a few MB).
 """
 
 from __future__ import annotations
@@ -17,7 +16,6 @@ from . import pages
 
 MAD_TO_SIGMA = 0.6745
 MEAN_AD_TO_SIGMA = 1.253314
-CHUNK = 4096
 
 
 def impossible_reason() -> Column:
@@ -40,27 +38,15 @@ def flag_series(observations: DataFrame, config: RobustConfig = RobustConfig(),
     The window counts observations, blank ones included, and slides inwards at the ends of a series.
     """
     w, reach = config.window, config.window // 2
-    series = Window.partitionBy(*keys).orderBy("observed_on")
-    numbered = observations.withColumns({"_i": F.row_number().over(series) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
-    # A point belongs to one chunk and lends itself to the next ones where it lies within a window of them.
-    home = F.expr(f"_i div {CHUNK}")
-    parts = F.expr(f"sequence(greatest(0, _i - {w}) div {CHUNK}, least(_n - 1, _i + {w}) div {CHUNK})")
-    lent = numbered.withColumn("_home", home).withColumn("_chunk", F.explode(parts))
-    point = F.struct("_i", "_home", "_n", *[c for c in observations.columns if c not in keys])
-    arrays = lent.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(point)).alias("_s"))
-    arrays = arrays.withColumns({"_v": F.expr("transform(_s, x -> double(x.average))"), "_first": F.expr("_s[0]._i")})
-    points = arrays.select(*keys, "_chunk", "_v", "_first", F.explode("_s").alias("_p")).filter("_p._home = _chunk")
-    points = points.select(*keys, "_p.*", "_v", "_first")
-    points = points.withColumns({"_a0": F.greatest(F.lit(0), F.col("_i") - reach), "_b0": F.least(F.col("_n"), F.col("_i") + reach + 1)})
-    short = F.col("_b0") - F.col("_a0") < w
-    points = points.withColumns({
-        "_a": F.when(short & (F.col("_a0") > 0), F.greatest(F.lit(0), F.col("_b0") - w)).otherwise(F.col("_a0")),
-        "_b": F.when(short & (F.col("_a0") == 0), F.least(F.col("_n"), F.lit(w))).otherwise(F.col("_b0")),
-    })
-    near = "sort_array(array_compact(concat(slice(_v, _a - _first + 1, _i - _a), slice(_v, _i - _first + 2, _b - _i - 1))))"
+    rest = ["observed_on", *[c for c in observations.columns if c not in (*keys, "observed_on")]]
+    series = observations.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("_s"))
+    series = series.withColumns({"_v": F.expr("transform(_s, x -> double(x.average))"), "_n": F.size("_s")})
+    # The first and the end of a point's window: what it lacks at one end it takes at the other.
+    edges = f"transform(array(struct(greatest(0, i - {reach}) as a, least(_n, i + {reach} + 1) as b)), z -> if(z.b - z.a >= {w}, z, if(z.a > 0, struct(greatest(0, z.b - {w}) as a, z.b as b), struct(z.a as a, least(_n, {w}) as b))))"
+    near = f"transform({edges}, z -> sort_array(array_compact(concat(slice(_v, z.a + 1, i - z.a), slice(_v, i + 2, z.b - i - 1)))))[0]"
     # One expression with each step bound once: as stacked columns, a filter above would multiply them while planning.
     steps = [
-        f"array(struct(double(average) as v, {near} as nb))",
+        f"array(struct(_v[i] as v, {near} as nb))",
         f"x -> struct(x.v as v, x.nb as nb, if(size(x.nb) > 0, {_middle('x.nb')}, null) as c)",
         "x -> struct(x.v as v, x.c as c, size(x.nb) as k, sort_array(transform(x.nb, y -> abs(y - x.c))) as d)",
         f"x -> struct(x.v as v, x.c as c, x.k as k, if(x.k > 0, {_middle('x.d')}, null) as mad, if(x.k > 0, aggregate(x.d, 0D, (a, y) -> a + y) / x.k, null) as mean)",
@@ -73,7 +59,8 @@ def flag_series(observations: DataFrame, config: RobustConfig = RobustConfig(),
     bound = steps[0]
     for step in steps[1:]:
         bound = f"transform({bound}, {step})"
-    points = points.select(*observations.columns, F.expr(f"({bound})[0]").alias("_r"), impossible_reason().alias("_why"))
+    inlined = series.select(*keys, F.expr(f"inline(transform(_s, (p, i) -> struct(p as _p, ({bound})[0] as _r)))"))
+    points = inlined.select(*[F.col(c) if c in keys else F.col(f"_p.{c}") for c in observations.columns], "_r").withColumn("_why", impossible_reason())
     two = lambda c: F.round(F.col(c).cast("decimal(20,6)"), 2).cast("decimal(20,2)").cast("string")  # noqa: E731  half-up
     text = F.when(
         F.col("_r.score") == float("inf"),
