@@ -11,8 +11,8 @@ small table in the shared folder, so a lost executor repeats no decision.
 
 Cases: null text counts as empty and equals it; rows that share doc_id and text are copies of each
 other and have one decision (each says kept); a null doc_id is lower than any
-other; columns of the input besides doc_id and text are not read by ``duplicates`` and are kept by
-``drop_duplicates``.
+other; very long texts are hashed and grouped whole; columns of the input besides doc_id and text are not read by ``duplicates``,
+whatever their names, and are kept by ``drop_duplicates``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .common import column, documents, partitions, prepared, small_or_not, store
 
 #: A message is sent when a task has hashed so many texts, so its memory is bounded.
 ROUND_ROWS = 1 << 17
+#: Fingerprints that one owner holds, 8 bytes each.
+OWNER_ROWS = 1 << 22
 MESSAGES = pa.schema([("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("code", pa.binary()), ("ids", pa.list_(pa.int64())), ("sure", pa.list_(pa.int64()))])
 BITMAPS = pa.schema([("sender", pa.int64()), ("owner", pa.int32()), ("hits", pa.binary())])
 
@@ -109,10 +111,10 @@ def _bitmaps(owners: int):
 def suspects(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id of the rows whose fingerprint occurs more than once.
 
-    owners: ranges of fingerprints; an owner holds 8 bytes a row of its range, so give it about rows / 10^7 at
-    least. The default is the session's shuffle partitions.
+    owners: ranges of fingerprints. By default the session's shuffle partitions, and more where an owner would hold more than
+    OWNER_ROWS of the counted rows.
     """
-    owners = owners or partitions(docs.sparkSession)
+    owners = owners or max(partitions(docs.sparkSession), -(-docs.count() // OWNER_ROWS))
     sent = stored(docs.select("doc_id", "text").mapInArrow(_messages(owners), _ddl(MESSAGES)), "messages")
     answers = (
         sent.select("sender", "owner", "n", "k", "code")
@@ -144,6 +146,9 @@ def duplicates(docs: DataFrame, owners: int | None = None) -> DataFrame:
         .filter("copies > 1")
         .select(F.sha2("text", 256).alias("text_sha256"), "most", "copies")
     )
+    # One row a group: broadcast while they are few; else a merge join, in which Spark cuts the partition of a hot text.
+    groups = stored(groups, "groups")
+    groups = small_or_not(groups, groups.count(), 120)
     own = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
     out = own.join(groups, "text_sha256", "left")
     keep = F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("most"))
