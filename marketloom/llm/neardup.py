@@ -8,12 +8,13 @@ Documents with equal shingle sets are one class from the start, whatever their n
 bucket nobody is paired with everybody: each member is a candidate of the bucket's pivot, and every
 table has another pivot. Two rounds confirm the candidates that share most tables, where both ends are not yet
 connected. Buckets that still hold several components are then compared exactly, so no link between different
-sets is left out: families of such buckets of at most FAMILY sets go to one task each, where one matrix product counts all
+sets is left out: families of such buckets of at most FAMILY sets and SHINGLES shingles go to one task each, where one matrix product counts all
 intersections; larger ones go bucket by bucket, and buckets above that size in pairs of blocks.
 
 Cases: texts without words link with nothing and are their own component; rows that share a doc_id are
 one document of the graph with the sets of both; a row without doc_id takes the component of an equal
-set, or null, and is kept; of a group the least doc_id stays; an empty table gives an empty result.
+set, or null, and is kept; of a group the least doc_id stays; very long texts are read piece by piece; other columns are not
+returned by ``near_duplicates``, whatever their names, and all are by ``drop_near_duplicates``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .shingles import minhashes, mixed, shingle_sets
 SHINGLE, THRESHOLD = 5, 80
 COLLECTIONS, WIDTH = 12, 2
 SEEDS = mixed(np.arange(1000, 1000 + COLLECTIONS * WIDTH, dtype=np.uint64))
-#: Sets that one task compares with each other, and shingles of one matrix product.
-FAMILY, COLUMNS = 4096, 2048
+#: Sets that one task compares with each other, their shingles (8 bytes each), and shingles of one matrix product.
+FAMILY, SHINGLES, COLUMNS = 4096, 1 << 22, 2048
 SIGNED = "doc_id long, n_shingles long, same binary, hashes array<long>"
 
 
@@ -207,16 +208,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
 def _rest(graph: _Graph, members: DataFrame) -> DataFrame:
     """Links (a, b) between different components that share a bucket, by comparing full sets."""
-    labelled = stored(graph.label(members.select("key", "v", "b"), "v", "c"), "labelled")
+    labelled = stored(graph.label(members.select("key", "v", "b", "n"), "v", "c"), "labelled")
     open_keys = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     some = stored(labelled.join(open_keys, "key", "left_semi"), "some")
     family = components(some.filter("v <> b").select(F.col("v").alias("a"), "b"))
-    sized = family.groupBy("label").agg(F.count("*").alias("size"))
+    weights = some.groupBy("v").agg(F.first("n").alias("n"))
+    family = family.join(weights, "v")
+    sized = family.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     family = stored(family.join(sized, "label"), "family")
-    whole = family.filter(F.col("size") <= FAMILY).select("v", F.xxhash64("label").alias("group"))
+    fits = (F.col("size") <= FAMILY) & (F.col("shingles") <= SHINGLES)
+    whole = family.filter(fits).select("v", F.xxhash64("label").alias("group"))
     # A larger family goes bucket by bucket; a bucket above the size is cut into blocks, and each pair of blocks is a group.
-    wide = some.join(family.filter(F.col("size") > FAMILY).select("v"), "v").select("key", "v")
-    blocks = wide.groupBy("key").agg(F.ceil(F.count("*") / (FAMILY // 2)).cast("int").alias("blocks"))
+    wide = some.join(family.filter(~fits).select("v"), "v").select("key", "v", "n")
+    half = F.greatest(F.ceil(F.count("*") / (FAMILY // 2)), F.ceil(F.sum("n") / (SHINGLES // 2)))
+    blocks = wide.groupBy("key").agg(half.cast("int").alias("blocks"))
     pairs = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cut = wide.join(blocks, "key").select("key", "v", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("own"), pairs)
     parts = cut.select("v", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"))

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import slices
+from .common import SLICE_BYTES, slices
 
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -54,6 +54,46 @@ def word_hashes(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mixed(np.add.reduceat(terms, start)), np.searchsorted(at, start, "right") - 1
 
 
+def long_word_hashes(data: np.ndarray, piece: int = SLICE_BYTES) -> np.ndarray:
+    """As ``word_hashes`` of one row, piece by piece: what it holds beside the words does not grow with the text, even if it is one word."""
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    done, begun, size = [np.zeros(0, np.uint64)], 0, 0  # the sum and length of a word that began in an earlier piece
+    for a in range(0, len(data), piece):
+        part = data[a : a + piece]
+        space = _SPACE[part]
+        start = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if size and space[0]:
+            done.append(np.array([begun], np.uint64))
+            begun = size = 0
+        if not len(start):
+            continue
+        index = np.arange(len(part))
+        inside = index - np.maximum.accumulate(np.where(np.isin(index, start), index, 0))
+        terms = _BYTE[_LOWER[part]] * powers(int(inside.max()) + 1)[inside]
+        terms[space] = 0
+        sums = np.add.reduceat(terms, start)
+        if size:
+            sums[0] = (begun + int(sums[0]) * pow(base, size, 1 << 64)) & mask
+        if space[-1]:
+            begun = size = 0
+        else:
+            size = (size if len(start) == 1 else 0) + len(part) - int(start[-1])
+            begun, sums = int(sums[-1]), sums[:-1]
+        done.append(sums)
+    if size:
+        done.append(np.array([begun], np.uint64))
+    return mixed(np.concatenate(done))
+
+
+def _shingles(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of every k words in a row, k being the number of weights."""
+    n = max(0, len(words) - len(weights) + 1)
+    whole = np.zeros(n, np.uint64)
+    for j, w in enumerate(weights):
+        whole += words[j : j + n] * w
+    return mixed(whole)
+
+
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, a sorted array of distinct shingle hashes for each row from it on), slice by slice.
 
@@ -61,13 +101,13 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray
     """
     weights = mixed(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
     for first, end, at, data in slices(texts):
-        words, row = word_hashes(at, data)
-        cuts = np.searchsorted(row, np.arange(end - first + 1))
-        n = len(words) - k + 1
-        whole = np.zeros(max(0, n), np.uint64)
-        for j in range(k):
-            whole += words[j : j + max(0, n)] * weights[j]
-        whole = mixed(whole)
+        if end == first + 1 and len(data) > SLICE_BYTES:
+            words = long_word_hashes(data)
+            cuts = np.array([0, len(words)])
+        else:
+            words, row = word_hashes(at, data)
+            cuts = np.searchsorted(row, np.arange(end - first + 1))
+        whole = _shingles(words, weights)
         sets = []
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b - a >= k:
