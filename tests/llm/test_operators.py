@@ -10,9 +10,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as tokenizer_files
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marketloom.llm import bpe, chunks, common, counts, exact, golomb, idfile, langid, mixing, neardup, pfor, quality, queries, repeats, secrets
+from marketloom.llm import bpe, chunks, common, counts, exact, golomb, idfile, langid, mixing, neardup, pfor, quality, queries, repeats, secrets, shingles, suffixes
 
 from ..oracle import same
 
@@ -77,21 +78,45 @@ def test_repeat_words_against_brute_force(spark):
 
 
 def test_mixing(spark, hand):
-    out = mixing.mix(hand, {"lang": {"en": 1, "fr": 1}}, passes=3)
+    out = mixing.mix(hand, {"lang": {"en": 1, "fr": 1}})
     assert out.count() == len(CASES) and out.filter("probability < 0 or probability > 1 or probability is null").isEmpty()
-    assert mixing.sample(hand).columns == hand.columns and mixing.sample(hand.limit(0)).count() == 0
+    assert mixing.sample(hand).columns == hand.columns and mixing.sample(hand.limit(0)).count() == 0 and mixing.mix(hand.limit(0)).count() == 0
+    # Columns named like added ones are replaced; the rest stays.
+    clash = hand.withColumns({c: F.lit("x") for c in ("probability", "ratio", "n_tokens", "m_topic", "kept", "copies", "doc")})
+    got = mixing.mix(clash)
+    assert sorted(got.columns) == sorted({*hand.columns, "doc", *mixing.ADDED}) and dict(got.dtypes)["probability"] == "double"
+    assert mixing.sample(clash).columns == clash.columns
+    bare = spark.createDataFrame([(None, None, None, None), (1, "", None, "s")], "doc_id long, text string, lang string, source string")
+    assert [(r.probability, r.copies, r.kept) for r in mixing.mix(bare).collect()] == [(1.0, 1, True)] * 2
 
 
-def test_mixing_takes_the_target_shares(spark):
-    rows = [(i, "word " * 20 + ("1234" if i % 10 == 0 else ""), "es" if i % 8 == 0 else "en", "small" if i % 25 == 0 else "large") for i in range(8000)]
+WANTED = {"lang": {"en": 0.7, "es": 0.3}, "source": {"large": 0.8, "small": 0.2}, "topic": {"prose": 0.75, "figures": 0.25}}
+
+
+@pytest.mark.parametrize("cells", [mixing.CELLS, 0])
+def test_mixing_takes_the_target_shares(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing.rake, "__defaults__", (None, cells))
+    rows = [(i, "word " * 20 + ("1234" if i % 10 == 0 else ""), "es" if i % 8 == 0 else "en", "small" if i % 25 == 0 else "large") for i in range(20000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    wanted = {"lang": {"en": 0.7, "es": 0.3}, "source": {"large": 0.8, "small": 0.2}, "topic": {"prose": 0.75, "figures": 0.25}}
-    cells = mixing.with_cells(mixing.sample(docs, wanted)).groupBy("m_lang", "m_source", "m_topic").agg({"n_tokens": "sum"}).collect()
-    total = sum(r[3] for r in cells)
-    assert abs(total / (20 * 8000 + 800) - 1) < 0.05
-    for k, m in enumerate(("lang", "source", "topic")):
-        for value, share in wanted[m].items():
-            assert abs(sum(r[3] for r in cells if r[k] == value) / total - share) < 0.02
+    mixed = mixing.mix(docs, WANTED).cache()
+    assert abs(sum(r.n_tokens * r.copies for r in mixed.collect()) / (20 * 20000 + 2000) - 1) < 0.05
+    for copies in (False, True):
+        n = mixed.agg(F.sum("copies" if copies else F.col("kept").cast("long"))).first()[0]
+        for r in mixing.achieved(mixed, copies).collect():
+            share = WANTED[r.margin][r.value]
+            assert abs(r.achieved - share) < 4 * (share * (1 - share) / n) ** 0.5 < 0.05, (copies, r)
+
+
+def test_mixing_of_the_tables_reaches_tempered_shares(spark):
+    mixed = mixing.mix(common.documents(spark, "/root/testdata/sf0.1")).cache()
+    rows = mixing.achieved(mixed).collect()
+    for m in mixing.MARGINS:
+        own = [r for r in rows if r.margin == m]
+        whole = sum(r.observed**mixing.TEMPER for r in own)
+        for r in own:
+            assert abs(r.achieved - r.observed**mixing.TEMPER / whole) < 0.02, r
+    cells = mixed.groupBy(*mixing.KEYS).agg(F.sum("n_tokens").alias("tokens"))
+    assert mixing.rake(cells).agg(F.max("residual")).first()[0] < 1e-9
 
 
 def test_exact(spark, hand):
@@ -119,6 +144,43 @@ def test_language_accuracy_on_held_out(spark):
     assert got.filter("lang = lang_pred").count() >= 0.97 * got.count()
 
 
+def test_language_against_a_plain_recomputation(spark):
+    """Counts, matrix and scores anew, n-gram by n-gram, for every document of the table."""
+    from marketloom.llm.langid import BUCKETS, ORDERS, SMOOTHING
+
+    rows = common.documents(spark, SF).select("doc_id", "text", "lang").collect()
+    mask = (1 << 64) - 1
+
+    def bucket(gram):
+        acc = 0
+        for n, c in enumerate(gram, 1):
+            acc = acc * 0x9E3779B97F4A7C15 + ord(c) + n & mask
+        h = acc * 0xD6E8FEB86659FD93 & mask
+        return ((h ^ h >> 29) * 0xBF58476D1CE4E5B9 & mask) >> 40
+
+    def found(text):
+        low = text.lower()
+        return Counter(bucket(low[i : i + n]) % BUCKETS for n in ORDERS for i in range(len(low) - n + 1))
+
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    counts, docs = {}, Counter()
+    for r in rows:
+        if r.text is not None and r.lang is not None and not held[r.doc_id]:
+            counts.setdefault(r.lang, Counter()).update(found(r.text))
+            docs[r.lang] += 1
+    names = sorted(counts)
+    logs = {x: np.log((np.array([counts[x][b] for b in range(BUCKETS)]) + SMOOTHING) / (sum(counts[x].values()) + SMOOTHING * BUCKETS)) for x in names}
+    for r in queries.queries()["op4_language_id"](spark, SF).join(common.documents(spark, SF).select("doc_id", "text"), "doc_id").collect():
+        assert r.held_out == held[r.doc_id]
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        grams = found(r.text)
+        total = np.array([np.log(docs[x] / sum(docs.values())) + sum(logs[x][b] * n for b, n in grams.items()) for x in names])
+        assert r.lang_pred == names[int(total.argmax())]
+        assert abs(r.score - 1 / np.exp(np.minimum(0, total - total.max())).sum()) < 1e-3
+
+
 def test_language_odd_rows(spark, hand):
     model = langid.train(hand)
     out = {r.doc_id: r for r in langid.predict(hand, model, ("doc_id", "kept")).collect()}
@@ -175,6 +237,55 @@ def test_chunks_join_to_the_whole():
         assert mine.encoded([t])[0].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_parts_of_long_texts_join_to_the_whole(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(chunks, "PART", 30)
+    lib, mine, rnd = Tokenizer.from_file(JSON), chunks.library_encoder(JSON), random.Random(7)
+    words = ["a", "bread", "é,", "  ", "\n", "x y", "<|endoftext|>", "中文", "1234", "'s", " ", "\u00a0z"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 90))) for _ in range(60)] + ["q" * 500, "", " "]
+    ids, per = mine.encoded(texts)
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and per.tolist() == [len(w) for w in want] == mine.lengths(texts).tolist()
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_words_of_long_texts(piece):
+    rnd = np.random.default_rng(piece)
+    data = np.frombuffer(b" \nabAB", np.uint8)[rnd.integers(0, 6, 900)]
+    for d in (data, np.frombuffer(b"x" * 300, np.uint8), np.frombuffer(b"   ", np.uint8), np.frombuffer(b"ab ", np.uint8)):
+        assert (shingles.long_word_hashes(d, piece) == shingles.word_hashes(np.array([0, len(d)]), d)[0]).all()
+
+
+@pytest.mark.parametrize("kind", ["words", "one word"])
+def test_memory_does_not_grow_with_a_long_text(kind):
+    """A text of 20 MB: what the operators hold beside it and its result stays under three of their slices' worth of arrays."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    size = 20 << 20
+    rnd = np.random.default_rng(1)
+    data = rnd.integers(97, 123, size).astype(np.uint8)
+    if kind == "words":
+        data[rnd.integers(0, size, size // 6)] = 32
+    text = data.tobytes().decode()
+    batch = pa.record_batch({"doc_id": [1], "th": [2], "text": pa.array([text])})
+    tracemalloc.start()
+    n = sum(b.num_rows for b in repeats._find(iter([batch])))
+    assert n > size // 300 and tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.reset_peak()
+    words = shingles.long_word_hashes(data)
+    assert tracemalloc.get_traced_memory()[1] - words.nbytes < 200 << 20 and len(words) == len(text.split())
+    tracemalloc.stop()
+    if kind == "words":
+        mine = chunks.ChunkEncoder(lambda texts: [[1] for _ in texts])
+        tracemalloc.start()
+        mine.lengths([text[: 4 << 20]])
+        assert tracemalloc.get_traced_memory()[1] < 300 << 20
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 5000])
 @pytest.mark.parametrize("high", [1, 2, 50000, 1 << 32])
 def test_blocks(n, high):
@@ -202,7 +313,10 @@ def test_secrets_link_parts_only_together(spark, hand):
     got = {r.doc_id: r.all for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.listed("spans").alias("all")).collect()}
     assert got[1] == f"key_id:2:19,key_value:24:{24 + len(value)}" and got[2] == "" and got[3] == ""
     assert got[4] == "key_id:0:17,endpoint:21:43" and got[5] == "" and got[6] == ""
-    assert secrets.find_secrets(hand).count() == len(CASES) and secrets.find_secrets(hand.limit(0)).count() == 0
+    clash = hand.withColumns({c: F.lit("x") for c in ("base", "spans", "weak", "links", "row_key", "doc")})
+    out = secrets.find_secrets(clash)
+    assert sorted(out.columns) == sorted({*clash.columns} - {"text"}) and out.count() == len(CASES) and out.filter("body <> 'b' or links <> 'x' or size(spans) > 0").isEmpty()
+    assert secrets.find_secrets(hand.limit(0)).count() == 0
 
 
 def groups(rows, k, threshold=80):
@@ -234,9 +348,10 @@ def test_near_duplicates_against_all_pairs(spark, texts):
     assert got == groups(texts.items(), 4)
 
 
-def test_near_duplicates_of_one_large_ambiguous_group(spark, monkeypatch):
+@pytest.mark.parametrize("bound, value", [("FAMILY", 40), ("SHINGLES", 4000)])
+def test_near_duplicates_of_one_large_ambiguous_group(spark, monkeypatch, bound, value):
     """Many copies of one text with edits: similarities on both sides of the bound, families cut into blocks."""
-    monkeypatch.setattr(neardup, "FAMILY", 40)
+    monkeypatch.setattr(neardup, bound, value)
     rnd, base = random.Random(4), [f"w{i}" for i in range(120)]
     rows = []
     for d in range(150):
@@ -271,7 +386,7 @@ def test_repeats_against_all_strings(spark, texts):
 
 
 def test_repeats_at_edges(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK", 500)  # several sorted runs
+    monkeypatch.setattr(repeats, "TOGETHER", 5000)  # several sorted runs
     rnd = random.Random(6)
     word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
     shared = word(1500)
@@ -284,14 +399,76 @@ def test_repeats_at_edges(spark, monkeypatch):
         assert (out[d].n_bytes, sum(x.hi - x.lo for x in s), len(s), hashlib.sha256(bytes(out[d].kept)).hexdigest()) == (n, gone, parts, sha), d
 
 
+def same_as_all_strings(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
+    for d, (n, gone, parts, sha) in enumerate(repeated([t.encode() for t in rows])):
+        s = out[d].spans or []
+        assert (out[d].n_bytes, sum(x.hi - x.lo for x in s), len(s), hashlib.sha256(bytes(out[d].kept)).hexdigest()) == (n, gone, parts, sha), d
+
+
+def test_repeats_of_a_hot_gram_are_split(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 4)
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = word(900)
+    rows = [word(rnd.randint(100, 500)) + shared[rnd.randint(0, 300) : rnd.randint(500, 900)] + word(rnd.randint(100, 500)) for _ in range(60)]
+    same_as_all_strings(spark, rows + [rows[0], rows[0], "q" * 700, "q" * 500])
+
+
+def test_repeats_in_pieces_of_a_long_text(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SLICE", 700)
+    rnd = random.Random(9)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = word(800)
+    same_as_all_strings(spark, [word(3000) + shared + word(2500) + shared[:450] + word(900), word(700) + shared[100:], word(5000)])
+
+
+def test_no_text_goes_by_a_collision(spark):
+    """Thue-Morse runs collide under polynomials modulo 2^64 with any odd base: these two texts share no string of 400 bytes."""
+    morse = lambda a, b: "".join((a, b)[bin(i).count("1") & 1] for i in range(256))
+    gram = "".join(random.Random(3).choice("abcdef") for _ in range(128))
+    rows = [morse("0", "O") + gram + morse("0", "O"), morse("O", "0") + gram + morse("O", "0")]
+    out = repeats.remove_repeats(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all(r.spans is None and bytes(r.kept).decode() == rows[r.doc_id] for r in out)
+
+
+@pytest.mark.parametrize("length", [1, 5, 40])
+def test_suffixes_in_order_of_their_bytes(length):
+    rnd = np.random.default_rng(length)
+    data = rnd.integers(97, 99, 600).astype(np.uint8)
+    data[300:500] = data[:200]
+    start = rnd.permutation(600 - length)
+    first, size = np.zeros(len(start), np.int64), np.full(len(start), len(start))
+    order = suffixes.merge_sorted(suffixes.Text(data), start, first, size, length)
+    got = [data[s : s + length].tobytes() for s in start[order]]
+    assert got == sorted(got)
+    n = Counter(got)
+    assert set(start[suffixes.repeating(data, start, np.zeros(len(start), np.int64), length)]) == {s for s in start if n[data[s : s + length].tobytes()] > 1}
+
+
+def test_bytes_decide_where_hashes_collide(monkeypatch):
+    monkeypatch.setattr(suffixes.Text, "same", lambda self, a, b, length: np.ones(len(a), bool))
+    data = np.frombuffer(b"abcdabceabcd", np.uint8)
+    assert suffixes.repeating(data, np.array([0, 4, 8]), np.zeros(3, np.int64), 4).tolist() == [0, 2]
+
+
+def test_products_modulo_the_prime():
+    rnd = random.Random(1)
+    a, b = ([rnd.randrange(suffixes.PRIME) for _ in range(500)] + [suffixes.PRIME - 1, 0, 1] for _ in range(2))
+    assert suffixes.times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % suffixes.PRIME for x, y in zip(a, b)]
+
+
 def test_repeats_odd_rows(spark, hand):
-    assert repeats.remove_repeats(hand).count() == len(CASES) and repeats.remove_repeats(hand.limit(0)).count() == 0
+    got = {(r.doc_id, bytes(r.kept)): r.spans for r in repeats.remove_repeats(hand).collect()}
+    assert len(got) == len({(c[0], c[1] or "") for c in CASES}) and got[(5, b"")][0].hi == 5000 and got[(7, b"")][0].hi == 15000 and got[(3, b"")] is None
+    assert repeats.remove_repeats(hand.limit(0)).count() == 0
 
 
 def test_weak_part_is_not_its_own_counterpart(spark):
     both = "AKQ7ZP2M" * 4
     docs = spark.createDataFrame([(1, f"see {both} here"), (2, f"see {both} and {both} here")], "doc_id long, text string")
-    scanned = secrets.scan(docs)
+    scanned = secrets.scan(docs).select("doc.doc_id", "base", "weak")
     weak = {r.doc_id: {x.k for x in r.weak} for r in scanned.collect()}
     assert len(weak[1]) == 2
     links = {r.doc_id: len(r.links) for r in secrets.linked(scanned, "doc_id").collect()}
