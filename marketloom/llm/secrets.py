@@ -7,10 +7,12 @@ then by distance, so the join is an equality join on small keys. A weak part is
 part of another kind lies within the scope.
 
 All is Column and DataFrame work. Positions follow from splitting the text by the pattern: the
-lengths of gaps and matches add up to the offsets, in code points, in one pass.
+lengths of gaps and matches add up to the offsets, in code points, in one pass. Texts are scanned once: the spans, with a number
+for each row, are a short table in the shared folder, which the join and the result read.
 
-Cases: null text is empty and has no spans; repeated rows keep one result each (parts are joined by
-a hash of the text within the document, so equal rows share their links); equal spans are listed once.
+Cases: null and empty texts have no spans; repeated rows keep one result each, as parts are joined within their row; equal
+spans are listed once; very long texts are scanned whole; columns of the input but ``text`` stay, null ones as they are, and
+those named base or spans are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_or_not, stored
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -62,17 +64,15 @@ def listed(spans: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with ``base`` and ``weak``: sorted arrays of (start, kind, end)."""
-    out = docs.withColumn("body", F.coalesce(F.col("text"), F.lit("")))
-    out = out.withColumns({f"s_{k}": spans_of(k, *v) for k, v in (BASE | PARTS).items()})
-    return out.withColumns({
-        "base": F.sort_array(F.concat(*[F.col(f"s_{k}") for k in BASE])),
-        "weak": F.sort_array(F.concat(*[F.col(f"s_{k}") for k in PARTS])),
-    }).drop("body", *[f"s_{k}" for k in KINDS])
+    """``doc`` (a struct of the columns of docs but text, base and spans), ``base`` and ``weak``: sorted arrays of (start, kind, end)."""
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("text", "base", "spans")] or [F.lit(None).alias("_")])
+    out = docs.select(doc.alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
+    found = {k: spans_of(k, *v) for k, v in (BASE | PARTS).items()}
+    return out.select("doc", *[F.sort_array(F.concat(*[found[k] for k in kinds])).alias(name) for name, kinds in (("base", BASE), ("weak", PARTS))])
 
 
 def linked(scanned: DataFrame, key: str = "row_key", scope: int = SCOPE) -> DataFrame:
-    """(key, links): the weak parts that have a part of another kind within ``scope`` that they do not overlap.
+    """(key, links): the weak parts that have a part of another kind within ``scope`` that they do not overlap. key: unique to a row.
 
     An access span serves as key_id, an assign span as key_value. Parts fall into cells of ``scope``
     code points; one side is copied to its neighbouring cells, so each near pair meets in just one.
@@ -82,7 +82,6 @@ def linked(scanned: DataFrame, key: str = "row_key", scope: int = SCOPE) -> Data
         scanned.filter(F.size("weak") > 0)
         .select(key, F.expr(f"array_distinct(concat(weak, {as_part}))").alias("parts"))
         .filter("size(array_distinct(transform(parts, x -> x.k))) > 1")
-        .dropDuplicates([key])
         .select(key, F.explode("parts").alias("p"))
         .select(key, "p.s", "p.k", "p.e")
     )
@@ -99,19 +98,18 @@ def linked(scanned: DataFrame, key: str = "row_key", scope: int = SCOPE) -> Data
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """docs with base spans, and all spans: base ones and the weak parts that are linked."""
-    scanned = scan(docs.withColumn("row_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    links = linked(scanned, "row_key", scope)
+    """docs without text, with base spans, and all spans: base ones and the weak parts that are linked."""
+    # The number of a row is written down with it, so it is the same for all that read it.
+    scanned = stored(scan(docs).withColumn("row_key", F.monotonically_increasing_id()), "scanned")
+    links = stored(linked(scanned, "row_key", scope), "linked")
+    near = small_or_not(links, links.count(), 500)
     kept = F.expr("array_intersect(weak, links)")
-    return (
-        scanned.join(links, "row_key", "left")
-        .withColumn("spans", F.when(F.col("links").isNull(), F.col("base")).otherwise(F.sort_array(F.array_distinct(F.concat("base", kept)))))
-        .drop("links", "row_key")
-    )
+    spans = F.when(F.col("links").isNull(), F.col("base")).otherwise(F.sort_array(F.array_distinct(F.concat("base", kept))))
+    return scanned.join(near, "row_key", "left").select("doc.*", "base", spans.alias("spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    found = find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
     count = {f"n_{k}": F.expr(f"bigint(size(filter(base, x -> x.k = {KINDS.index(k)})))") for k in BASE}
     return found.select(
         "doc_id", *[c.alias(k) for k, c in count.items()],
@@ -134,7 +132,8 @@ def _sql_twin() -> str:
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS body FROM documents), f AS MATERIALIZED ({found}),
 p AS (SELECT DISTINCT doc_id, s, e, CASE k WHEN 0 THEN {KINDS.index('key_value')} WHEN 1 THEN {KINDS.index('key_id')} ELSE k END AS k FROM f WHERE k <> 2),
-w AS (SELECT * FROM f WHERE k >= {len(BASE)} AND EXISTS (SELECT 1 FROM p WHERE p.doc_id = f.doc_id AND p.k <> f.k AND p.s <= f.e + {SCOPE} AND f.s <= p.e + {SCOPE})),
+w AS (SELECT * FROM f WHERE k >= {len(BASE)} AND EXISTS (SELECT 1 FROM p WHERE p.doc_id = f.doc_id AND p.k <> f.k AND p.s <= f.e + {SCOPE} AND f.s <= p.e + {SCOPE}
+  AND (p.e <= f.s OR f.e <= p.s))),
 b AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, string_agg({one}, ',' ORDER BY s, k, e) AS t FROM f WHERE k < {len(BASE)} GROUP BY doc_id),
 a AS (SELECT doc_id, string_agg({one}, ',' ORDER BY s, k, e) AS t FROM (SELECT * FROM f WHERE k < {len(BASE)} UNION SELECT * FROM w) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(b.t, '')) AS base_sha256, coalesce(a.t, '') AS spans
