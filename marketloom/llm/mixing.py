@@ -8,6 +8,9 @@ of the id, so that the same documents are taken on every run and on every cluste
 * ``probability``, the ratio over the largest ratio: the kept documents have the fitted marginals, and nothing is taken twice.
 * ``copies``, the whole part of the ratio and one more with the probability of its fraction: about as many tokens as came in.
 
+Documents differ much in length, so as many documents are not as many tokens. A cell's documents are therefore taken up to the cut
+of the hash at which their tokens, summed by BINS ranges of the hash, come to the wanted part of the cell; in the mean that is the probability.
+
 Targets are shares per value of a marginal. Without given ones they are the observed shares raised to ``TEMPER``, which
 moves weight from large values to small ones.
 
@@ -34,6 +37,8 @@ ADDED = ("n_tokens", *KEYS, "ratio", "probability", "copies", "kept")
 #: The residual (of the total) at which passes end, and at most so many passes.
 TOLERANCE, PASSES = 1e-12, 200
 LARGEST = 1e60
+#: Ranges of the hash whose tokens are summed for each cell.
+BINS = 1024
 #: Up to so many cells (of about 100 bytes) are fitted in one row of arrays, without an exchange; more stay a table.
 CELLS = 1 << 16
 TEMPER = 0.7
@@ -141,15 +146,28 @@ def _by_tables(wanted: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, topic: str = TOPIC, tokens: str = TOKENS) -> DataFrame:
     """docs with n_tokens, the marginals, ``ratio``, ``probability`` and ``kept``, and ``copies``."""
     own = [c for c in docs.columns if c not in ADDED]
-    packed = with_cells(docs, topic, tokens).select(F.struct(*own).alias("doc"), "n_tokens", *KEYS)
-    cells = stored(packed.groupBy(*KEYS).agg(F.sum("n_tokens").alias("tokens")), "cells")
+    packed = with_cells(docs, topic, tokens).select(F.struct(*own).alias("doc"), "n_tokens", *KEYS, uniform().alias("u"))
+    bins = stored(packed.groupBy(*KEYS, F.floor(F.col("u") * BINS).alias("bin")).agg(F.sum("n_tokens").alias("n")), "bins")
+    cells = stored(bins.groupBy(*KEYS).agg(F.sum("n").alias("tokens")), "cells")
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
     most = F.max(F.when(F.col("tokens") > 0, F.col("ratio"))).over(Window.partitionBy())
     fitted = rake(cells, targets).withColumn("ratio", ratio).withColumn("probability", F.when(F.col("tokens") > 0, F.col("ratio") / most).otherwise(1.0))
-    fitted = stored(fitted.select(*KEYS, "ratio", "probability"), "fitted")
-    both = packed.join(small_or_not(fitted, fitted.count(), 200), KEYS)
-    u, whole = uniform("doc.doc_id"), F.floor("ratio")
-    taken = both.withColumns({"copies": whole + (u < F.col("ratio") - whole).cast("long"), "kept": u < F.col("probability")})
+    fitted = stored(fitted.select(*KEYS, "tokens", "ratio", "probability"), "fitted")
+    so_far = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = bins.join(fitted, KEYS).withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+
+    def cut(part: Column) -> Column:
+        """The hash up to which a cell's tokens come to this part of them: within the last range that they reach, in proportion."""
+        wanted = part * F.col("tokens")
+        inside = F.least(F.lit(1.0), (wanted - F.col("before")) / F.col("n"))
+        reached = F.max(F.when((F.col("before") < wanted) & (F.col("n") > 0), (F.col("bin") + inside) / BINS))
+        return F.when(F.max(part) >= 1, 1.0).otherwise(F.coalesce(reached, F.lit(0.0)))
+
+    p, more = F.col("probability"), F.col("ratio") - F.floor("ratio")
+    cuts = ranges.groupBy(*KEYS).agg(F.first("ratio").alias("ratio"), F.first("probability").alias("probability"), cut(p).alias("cut"), cut(more).alias("cut_more"))
+    cuts = stored(cuts, "cuts")
+    both = packed.join(small_or_not(cuts, cuts.count(), 200), KEYS)
+    taken = both.withColumns({"copies": F.floor("ratio") + (F.col("u") < F.col("cut_more")).cast("long"), "kept": F.col("u") < F.col("cut")})
     return taken.select("doc.*", *ADDED)
 
 
@@ -204,9 +222,13 @@ WITH d AS MATERIALIZED (
 
 
 UNIFORM_SQL = f"('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0"
-SQL = f"""{_fitted_sql()}
-SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(p, 6) AS probability, {UNIFORM_SQL} < p AS kept
-FROM d JOIN (SELECT *, CASE WHEN n > 0 THEN r / (SELECT max(r) FROM fit WHERE n > 0) ELSE 1 END AS p FROM fit) USING (m_source, m_lang, m_topic)"""
-COPIES_SQL = f"""{_fitted_sql()}
-SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(r, 6) AS ratio, floor(r)::BIGINT + ({UNIFORM_SQL} < r - floor(r))::BIGINT AS copies
-FROM d JOIN fit USING (m_source, m_lang, m_topic)"""
+_CUT = "CASE WHEN max({x}) >= 1 THEN 1 ELSE coalesce(max(CASE WHEN before < {x} * n AND t > 0 THEN (bin + least(1, ({x} * n - before) / t)) / {bins} END), 0) END"
+_DRAWN = f"""{_fitted_sql()}, one AS MATERIALIZED (SELECT *, CASE WHEN n > 0 THEN r / (SELECT max(r) FROM fit WHERE n > 0) ELSE 1 END AS p, r - floor(r) AS q FROM fit
+), h AS MATERIALIZED (SELECT *, {UNIFORM_SQL} AS u FROM d
+), bins AS (SELECT m_source, m_lang, m_topic, floor(u * {BINS}) AS bin, sum(n_tokens)::DOUBLE AS t FROM h GROUP BY ALL
+), far AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY m_source, m_lang, m_topic ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bins JOIN one USING (m_source, m_lang, m_topic)
+), cuts AS MATERIALIZED (SELECT m_source, m_lang, m_topic, any_value(p) AS p, any_value(r) AS r, {_CUT.format(x="p", bins=BINS)} AS cut, {_CUT.format(x="q", bins=BINS)} AS cut_more FROM far GROUP BY ALL)"""
+SQL = f"""{_DRAWN}
+SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(p, 6) AS probability, u < cut AS kept FROM h JOIN cuts USING (m_source, m_lang, m_topic)"""
+COPIES_SQL = f"""{_DRAWN}
+SELECT doc_id, n_tokens, source, lang, m_topic AS topic, round(r, 6) AS ratio, floor(r)::BIGINT + (u < cut_more)::BIGINT AS copies FROM h JOIN cuts USING (m_source, m_lang, m_topic)"""
