@@ -91,3 +91,31 @@ def robots_policy(status: Column, has_body: Column) -> Column:
 
 def finite(c: Column) -> Column:
     return F.when(F.abs(c) != F.lit(float("inf")), c)
+
+
+def peso(c: Column) -> Column:
+    """An amount as it is shown; a missing one is a dash."""
+    return F.coalesce(F.concat(F.lit("₱"), F.format_number(c, 2)), F.lit("—"))
+
+
+def percent(c: Column) -> Column:
+    """A change as it is shown, one place half up, with a sign if it is a rise."""
+    shown = F.round(c.cast("decimal(20,6)"), 1).cast("decimal(20,1)").cast("string")
+    return F.concat(F.when(c > 0, "+").otherwise(""), shown, F.lit("%"))
+
+
+def short_date(c: Column) -> Column:
+    return F.date_format(c, "d MMM")
+
+
+def long_date(c: Column) -> Column:
+    return F.date_format(c, "d MMMM yyyy")
+
+
+def days_ago(days: int, today: Column | None = None) -> Column:
+    """The date so many days before today, or before a date that stands for it."""
+    return F.date_sub(today if today is not None else F.current_date(), days)
+
+
+def commodity_label(name: Column, specification: Column) -> Column:
+    return F.concat(name, F.when(F.coalesce(specification, F.lit("")) != "", F.concat(F.lit(" ("), specification, F.lit(")"))).otherwise(""))

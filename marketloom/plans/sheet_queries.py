@@ -289,6 +289,19 @@ def text_rules(spark, sf):
     )
 
 
+@query("""SELECT o_orderkey, '₱' || format('{:,.2f}', o_totalprice) AS price, strftime(o_orderdate, '%-d %b') AS short_day, strftime(o_orderdate, '%-d %B %Y') AS long_day,
+  strftime(o_orderdate::DATE - 90, '%Y-%m-%d') AS from_day, CASE WHEN o_orderkey % 21 > 10 THEN '+' ELSE '' END || printf('%.1f', (o_orderkey % 21 - 10) / 2.0) || '%' AS change,
+  o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' (' || o_orderstatus || ')' ELSE '' END AS label FROM orders""")
+def display_texts(spark, sf):
+    """Amounts, dates, changes and labels as they are shown."""
+    o = b.table(spark, sf, "orders")
+    return o.select(
+        "o_orderkey", text.peso(F.col("o_totalprice").cast("decimal(14,2)")).alias("price"), text.short_date(F.col("o_orderdate")).alias("short_day"), text.long_date(F.col("o_orderdate")).alias("long_day"),
+        text.days_ago(90, F.to_date("o_orderdate")).alias("from_day"), text.percent(F.expr("(o_orderkey % 21 - 10) / 2.0D")).alias("change"),
+        text.commodity_label(F.col("o_orderpriority"), F.expr("if(o_orderkey % 2 = 0, o_orderstatus, if(o_orderkey % 3 = 0, '', null))")).alias("label"),
+    )
+
+
 _LISTED = """SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey % 4 AS form FROM orders"""
 
 
