@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import FIGURES
 from ..sources import sheets
+from ..storage import stored as stored_table
 from . import ledger, resolve, state
 
 
@@ -40,16 +41,17 @@ def ingest(
     """cells: as ``sheets`` takes them; headers: one row per file (``sheets.sheet_headers``) with ``file_seq``, the order in which files count.
 
     dims: commodities, commodity_aliases, regions, markets. Refused files are held whole, rows at parse or alias, and keys that
-    one file tells in two ways at validate. Markets not known yet are made; two spellings of a market are one.
+    one file tells in two ways at validate. Markets not known yet are made; two spellings of a market are one. Parsed and
+    resolved rows are stored once, and all results read from there.
     """
     today = today if today is not None else F.current_date()
-    files = placed_files(cells, headers, dims["regions"], today)
+    files = stored_table(placed_files(cells, headers, dims["regions"], today), "sheet-files")
     good = files.filter("reason is null")
     fresh = resolve.new_markets(good.withColumnRenamed("psgc_code", "region_psgc_code"), dims["markets"])
     markets = dims["markets"].select("id", "region_psgc_code", "municipality", "name").unionByName(fresh)
     named = resolve.with_market(good.select("file_sha", "file_seq", "observed_on", "psgc_code", "municipality", "market"), markets)
-    rows = sheets.price_rows(cells).join(named.drop("psgc_code", "municipality", "market"), "file_sha")
-    resolved = resolve.resolve_commodities(rows.filter("reject_reason is null"), dims["commodity_aliases"], dims["commodities"])
+    rows = stored_table(sheets.price_rows(cells).join(named.drop("psgc_code", "municipality", "market"), "file_sha"), "sheet-rows")
+    resolved = stored_table(resolve.resolve_commodities(rows.filter("reject_reason is null"), dims["commodity_aliases"], dims["commodities"]), "resolved-rows")
     batch = resolved.filter("alias_reason is null").select(
         F.lit(source).alias("source"), F.col("market_id").alias("market"), F.col("canonical_slug").alias("commodity"), "observed_on",
         *FIGURES, "unavailable", F.col("file_sha").alias("source_file_sha256"), "file_seq", F.col("row_no").alias("position"),
@@ -64,3 +66,11 @@ def ingest(
         ledger.held(disputed, "validate", told, ["source", "market", "commodity", "observed_on"], source, run_id, now),
     )
     return Ingest(done, held, fresh, files)
+
+
+def run_summary(done: Ingest) -> DataFrame:
+    """What the run's row of the ledger says: files seen and failed, rows written and held back, and the status that follows."""
+    zero = F.lit(0).cast("long")
+    parts = done.files.agg(F.count("*").alias("files_seen"), F.count_if(F.col("reason").isNotNull()).alias("files_failed"), zero.alias("rows_upserted"), zero.alias("rows_quarantined"))
+    parts = parts.union(done.upsert.outcome.select(zero, zero, F.col("inserted") + F.col("revised"), zero)).union(done.quarantine.agg(zero, zero, zero, F.count("*")))
+    return parts.agg(*[F.sum(c).alias(c) for c in parts.columns]).withColumn("status", F.when(F.col("files_failed") > 0, ledger.status_of(True, 1)).otherwise(ledger.status_of(True, 0)))

@@ -142,6 +142,14 @@ def ingest_quarantine(spark, sf):
     return _ingested(spark, sf).quarantine.select(F.col("source_file_sha256").alias("file_sha"), "stage", "reason")
 
 
+@query(f"""{_ROWS} SELECT (SELECT count(*) FROM p) AS files_seen, (SELECT count(why) FROM p) AS files_failed, (SELECT count(*) FROM h) AS rows_upserted,
+  (SELECT count(why) FROM p) + (SELECT count(s.reason) FROM s JOIN p ON s.file = p.file WHERE why IS NULL) + (SELECT count(alias_reason) FROM n)
+    + (SELECT count(*) FROM (SELECT DISTINCT market_id, slug, day, file FROM d WHERE split IS NOT NULL)) AS rows_quarantined,
+  CASE WHEN (SELECT count(why) FROM p) > 0 THEN 'partial' ELSE 'succeeded' END AS status""")
+def ingest_run(spark, sf):
+    return ingest.run_summary(_ingested(spark, sf))
+
+
 @query(f"{_ROWS} SELECT market_id AS id, (file % 25)::VARCHAR AS region_psgc_code, arg_min(municipality, file) AS municipality, 'Public Market' AS name FROM p WHERE why IS NULL AND file % 5 <> 0 GROUP BY ALL")
 def market_create(spark, sf):
     """Markets met for the first time, in the spelling of the first file."""

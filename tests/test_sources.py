@@ -235,6 +235,7 @@ def test_ingest_end_to_end(spark):
         ("a", "alias", "no alias for 'salts | rock"), ("b", "parse", "not a number: x"), ("b", "validate", "2 rows in one batch resolv"), ("d", "validate", "province 'Atlantis' is not"),
         ("e", "validate", "sheet is dated 2031-05-04,"), ("f", "parse", "unreadable Date of Monitor"), ("g", "parse", "no column header row"),
     ]
+    assert ingest.run_summary(done).first().asDict() == dict(files_seen=7, files_failed=4, rows_upserted=3, rows_quarantined=7, status="partial")
     again = run(spark.createDataFrame(done.upsert.state.collect(), TABLES["price_observations"]).withColumn("ingested_at", F.lit("2020-01-01").cast("timestamp")))
     # A second run of all files: the first sheet's price comes and goes again.
     assert {(r.market, r.commodity): str(r.low) for r in again.upsert.state.collect()} == {(7, "oil"): "10.50", (7, "salt"): "12.00"}
