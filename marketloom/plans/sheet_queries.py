@@ -243,6 +243,11 @@ def sources_by_slug(spark, sf):
     return s.orderBy("slug").withColumn("total", F.count("*").over(Window.partitionBy()))  # one short dimension
 
 
+@query("SELECT r_regionkey::VARCHAR AS psgc_code, r_name AS name, 'region' AS level FROM region ORDER BY psgc_code")
+def regions_by_code(spark, sf):
+    return b.regions(spark, sf).orderBy("psgc_code")
+
+
 def _filtered_anomalies_sql() -> str:
     from .registry import _anomaly_sql
 

@@ -201,6 +201,7 @@ def test_ledger(spark):
     held = ledger.held(rows, "parse", F.col("why"), ["row_no"], "s", "r").collect()
     assert len(held) == 1 and held[0].payload == '{"row_no":1}'
     assert [ledger.status_of(*x) for x in ((False, 0), (True, 1), (True, 0))] == ["failed", "partial", "succeeded"]
+    assert [ledger.EXIT_CODES[x] for x in ("succeeded", "failed", "partial")] == [0, 1, 2]
     with pytest.raises(ValueError):
         ledger.held(rows, "elsewhere", F.col("why"), ["row_no"], "s", "r")
 
