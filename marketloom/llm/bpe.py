@@ -2,21 +2,21 @@
 
 Encoding, with the documents in blocks (consecutive rows of a scan partition, BLOCK_BYTES of text):
 
-1. A block numbers its distinct pre-tokens, most frequent first, and sends one row (word, block,
-   number) for each, however often the word stands in it.
-2. Rows meet by word, sorted; the owner encodes each distinct word once, by the rank file, and
-   replies to every block that asked.
-3. The positions of the words in a block's documents travel once, as a compressed list of numbers, to
-   where the replies for the block meet. There ids are put in the words' places.
+1. A block numbers its distinct pre-tokens, most frequent first. Each is sent once to the owner of its group (by its hash), however
+   often it stands in the block, packed with the block's other words of that group; and with them go the positions of
+   the words in the block's documents, as compressed lists of numbers. The texts are read and pre-tokenised once.
+2. Words meet by group, in whose task each distinct word is encoded once, by the rank file, and its ids replied to
+   every block that asked. Positions pass through here.
+3. Replies and positions meet by block, and ids are put in the words' places.
 
-A frequent word is one row per block, so no key is hot, and no task holds more than a block. Steps 1 and 3
-scan the input twice and number alike, which a checksum over words and numbers proves for each block: the input must
-be a table or files, not a result that changes between two evaluations.
+A frequent word comes once from each block, so no key is hot, and no task holds more than a block: BLOCK_BYTES, or one longer
+text. The input must be a table or files, not a result that changes when a lost task reads it again.
 
 Decoding looks the ids up in the token-byte table, whose size is that of the vocabulary, in every task.
 
-Cases: null and empty texts have no ids and decode to no bytes; rows that share a doc_id are encoded each; text in
-any script round-trips, as every byte is a token; ids outside the vocabulary raise; other columns are not returned.
+Cases: null and empty texts have no ids and decode to no bytes; rows that share a doc_id, or have none, are encoded each; text in
+any script round-trips, as every byte is a token; very long texts are worked on in parts; ids outside the vocabulary raise; other
+columns are not returned, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +32,7 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +40,14 @@ from .chunks import ChunkEncoder
 from .common import column, documents, partitions, prepared, slices
 
 BLOCK_BYTES = 32 << 20
-#: Words whose replies an owner holds before it sends them.
-REPLY_WORDS = 1 << 18
-#: Documents in one Arrow batch of results.
-OUT_ROWS = 500
-WORDS = "word binary, block long, number int"
-PLACED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("proof", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
-PLACED_DDL = "block long, kind int, proof long, numbers binary, counts binary, values binary, doc_ids array<long>"
+#: Words of documents in one Arrow batch of results, or of positions; more only if a single document has more.
+OUT_WORDS = 1 << 19
+#: Groups of words by hash, for each partition: one group is encoded at a time.
+GROUPS = 8
+#: A row on its way to the owner of a group of words, and from there to where its block is put together. kind 0: words of the group,
+#: later their ids (numbers of the words in the block, lengths, bytes or ids); kind 1: positions (numbers of words, words of each document).
+ROW = pa.schema([("group", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("numbers", pa.binary()), ("counts", pa.binary()), ("values", pa.binary()), ("doc_ids", pa.list_(pa.int64()))])
+ROW_DDL = "group long, block long, kind int, numbers binary, counts binary, values binary, doc_ids array<long>"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -60,12 +63,12 @@ def _coder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def _squeezed(a: np.ndarray) -> bytes:
+def _squeezed(a: np.ndarray, level: int = 3) -> bytes:
     """Numbers as bytes: a plane for each byte that any of them needs, compressed."""
     a = a.astype("<u4")
     need = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 4)[:, :need].T)
-    return bytes([need]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([need]) + zstandard.ZstdCompressor(level=level).compress(planes.tobytes())
 
 
 def _spread(data: bytes) -> np.ndarray:
@@ -75,11 +78,6 @@ def _spread(data: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def _proof(words: list[bytes], numbers: np.ndarray) -> int:
-    prints = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return int((prints * (2 * numbers.astype(np.uint64) + np.uint64(1))).sum(dtype=np.uint64).astype(np.int64))
-
-
 class _Block:
     """Distinct words of some documents, and the documents as numbers of words."""
 
@@ -90,7 +88,15 @@ class _Block:
         self.places: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         find = regex.compile(public_tokenizers.PATTERN).findall
-        self.coder = ChunkEncoder(lambda chunks: [[self.words.setdefault(w, len(self.words)) for w in find(c)] for c in chunks])
+        opens = bytearray()  # whether a word begins with a space
+
+        def encode(chunks: list[str]) -> list[list[int]]:
+            got = [[self.words.setdefault(w, len(self.words)) for w in find(c)] for c in chunks]
+            fresh = [w[0] == " " for w, _ in zip(reversed(self.words), range(len(self.words) - len(opens)))]
+            opens.extend(reversed(fresh))
+            return got
+
+        self.coder = ChunkEncoder(encode, lambda ids: np.frombuffer(bytes(opens), np.bool_)[ids])
 
     def add(self, rows: list[int], texts: list[str], size: int) -> None:
         self.rows += rows
@@ -115,7 +121,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
     block, base = None, 0
     for batch in batches:
         if block is None:
-            base = int(column(batch, "part")[0].as_py()) << 24
+            base = TaskContext.get().partitionId() << 16
             block = _Block(base)
         names, texts = column(batch, "doc_id"), column(batch, "text")
         for first, end, at, _ in slices(texts):
@@ -128,104 +134,120 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
         yield block
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        words, _, _ = block.close()
-        for a in range(0, len(words), 1 << 16):
-            part = words[a : a + (1 << 16)]
-            yield pa.record_batch([pa.array(part, pa.binary()), pa.repeat(pa.scalar(block.number, pa.int64()), len(part)), pa.array(range(a, a + len(part)), pa.int32())], names=["word", "block", "number"])
+def _stretches(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Documents (first, end) of about OUT_WORDS words together."""
+    ends, a = np.cumsum(counts), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - counts[a] + OUT_WORDS, "right")))
+        yield a, b
+        a = b
 
 
 def _row(*values) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, PLACED)], schema=PLACED)
+    return pa.record_batch([pa.array([v], f.type) for v, f in zip(values, ROW)], schema=ROW)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in _blocks(batches):
-        words, places, counts = block.close()
-        yield _row(block.number, 1, _proof(words, np.arange(len(words))), _squeezed(places), _squeezed(counts), _squeezed(np.array([len(words)])), block.rows)
+def _asked(groups: int):
+    """For each block the distinct words by group, and the positions of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            words, places, counts = block.close()
+            to = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(groups)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], np.diff(to[order]) != 0])) if len(words) else np.zeros(0, np.int64)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(words)]):
+                own = order[a:b]
+                some = [words[i] for i in own]
+                sizes = np.fromiter(map(len, some), np.int64, len(some))
+                yield _row(int(to[own[0]]), block.number, 0, _squeezed(np.diff(own, prepend=0)), _squeezed(sizes), zstandard.ZstdCompressor().compress(b"".join(some)), [])
+            ends = np.cumsum(counts)
+            for a, b in _stretches(counts):
+                own = places[ends[a] - counts[a] : ends[b - 1]]
+                yield _row(block.number, block.number, 1, _squeezed(own, 9), _squeezed(np.append(counts[a:b], len(words))), b"", block.rows[a:b])
+
+    return run
 
 
 def _replies(path: str):
-    """Rows come sorted by word. A word met again, in this batch or the last one, is not encoded again."""
+    """Rows come sorted by group. A word met again in its group is not encoded again. Positions pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _coder(path)._encode_single_piece
-        last, ids = None, ()
-        held: dict[int, tuple[list, list, list]] = {}
-        n = 0
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for block, (numbers, words, found) in held.items():
-                numbers = np.array(numbers)
-                counts = np.fromiter(map(len, found), np.int64, len(found))
-                values = np.concatenate([np.asarray(x, np.uint32) for x in found])
-                yield _row(block, 0, _proof(words, numbers), _squeezed(numbers), _squeezed(counts), _squeezed(values), [])
-
+        group, known = None, {}
         for batch in batches:
-            for word, block, number in zip(column(batch, "word").to_pylist(), column(batch, "block").to_pylist(), column(batch, "number").to_pylist()):
-                if word != last:
-                    last, ids = word, encode(word)
-                own = held.get(block)
-                if own is None:
-                    own = held[block] = ([], [], [])
-                own[0].append(number)
-                own[1].append(word)
-                own[2].append(ids)
-                n += 1
-            if n >= REPLY_WORDS:
-                yield from send()
-                held, n = {}, 0
-        yield from send()
+            for i in range(batch.num_rows):
+                to, block, kind, numbers, counts, values = (batch.column(c)[i].as_py() for c in range(6))
+                if kind == 1:
+                    yield batch.slice(i, 1)
+                    continue
+                if to != group:
+                    group, known = to, {}
+                ends = np.cumsum(_spread(counts), dtype=np.int64).tolist()
+                body = zstandard.ZstdDecompressor().decompress(values)
+                found = []
+                for a, b in zip([0, *ends], ends):
+                    word = body[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = encode(word)
+                    found.append(ids)
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                yield _row(to, block, 0, numbers, _squeezed(n), _squeezed(np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))), [])
 
     return run
 
 
+def _joined(replies: list[tuple[bytes, bytes, bytes]], n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many ids each word of a block has, where they begin, and all ids."""
+    width, at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+    pool, size = [np.zeros(0, np.uint32)], 0
+    for a, b, c in replies:
+        own, n, ids = np.cumsum(_spread(a), dtype=np.int64), _spread(b).astype(np.int64), _spread(c)
+        width[own] = n
+        at[own] = np.cumsum(n) - n + size
+        pool.append(ids)
+        size += len(ids)
+    if (width == 0).any():
+        raise RuntimeError("a word has no reply: the documents changed while they were read again")
+    return width, at, np.concatenate(pool)
+
+
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block, the replies before the places."""
-    block, replies = None, []
+    """Rows come sorted by block, the replies before the positions."""
+    block, replies, table = None, [], None
     for batch in batches:
         for i in range(batch.num_rows):
-            number, kind, proof, numbers, counts, values = (batch.column(c)[i].as_py() for c in range(6))
+            number, kind, numbers, counts, values = (batch.column(c)[i].as_py() for c in range(1, 6))
             if number != block:
-                block, replies = number, []
+                block, replies, table = number, [], None
             if kind == 0:
-                replies.append((proof, numbers, counts, values))
+                replies.append((numbers, counts, values))
                 continue
-            n_words = int(_spread(values)[0])
-            width, at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
-            pool, size, total = [], 0, 0
-            for p, a, b, c in replies:
-                own, per, ids = _spread(a), _spread(b).astype(np.int64), _spread(c)
-                width[own] = per
-                at[own] = np.cumsum(per) - per + size
-                pool.append(ids)
-                size += len(ids)
-                total += p
-            if (total - proof) % (1 << 64) or (width == 0).any():
-                raise RuntimeError("the documents changed between two scans; write them as a table first")
-            pool = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
-            places, per = _spread(numbers), _spread(counts).astype(np.int64)
-            ends, names, replies = np.cumsum(per), batch.column(6)[i].values, []
-            for a in range(0, len(per), OUT_ROWS):
-                b = min(len(per), a + OUT_ROWS)
-                own = places[ends[a] - per[a] : ends[b - 1]]
-                w = width[own]
-                stop = np.concatenate([[0], np.cumsum(w)])
-                take = np.arange(stop[-1]) + np.repeat(at[own] - stop[:-1], w)
-                cuts = np.concatenate([[0], np.cumsum(per[a:b])])
-                ids = pa.ListArray.from_arrays(pa.array(stop[cuts], pa.int32()), pa.array(pool[take].astype(np.int32)))
-                yield pa.record_batch([names[a:b], ids], names=["doc_id", "ids"])
-
-
-def encode(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id and ids (array of int) of every document's text, by the rank file at ``ranks``."""
-    # The scan's own partition number: a task's number differs where two scans run as one stage.
-    given = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
+            per = _spread(counts).astype(np.int64)
+            per, n_words = per[:-1], int(per[-1])
+            if table is None:
+                table, replies = _joined(replies, n_words), []
+            width, at, pool = table
+            own = _spread(numbers)
+            w = width[own]
+            stop = np.concatenate([[0], np.cumsum(w)])
+            take = np.arange(stop[-1]) + np.repeat(at[own] - stop[:-1], w)
+            cuts = np.concatenate([[0], np.cumsum(per)])
+            ids = pa.ListArray.from_arrays(pa.array(stop[cuts], pa.int32()), pa.array(pool[take].astype(np.int32)))
+            yield pa.record_batch([batch.column(6)[i].values, ids], names=["doc_id", "ids"])
+
+
+def encode(docs: DataFrame, ranks: str, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every document's text, by the rank file at ``ranks``; with the bytes they decode to if wanted."""
+    given = docs.select("doc_id", "text")
     n = partitions(docs.sparkSession)
-    asked = given.mapInArrow(_words, WORDS).repartition(n, "word").sortWithinPartitions("word")
-    met = asked.mapInArrow(_replies(ranks), PLACED_DDL).union(given.mapInArrow(_places, PLACED_DDL))
-    return met.repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(_assemble, "doc_id long, ids array<int>")
+    asked = given.mapInArrow(_asked(GROUPS * n), ROW_DDL).repartition(n, "group").sortWithinPartitions("group")
+    met = asked.mapInArrow(_replies(ranks), ROW_DDL).repartition(n, "block").sortWithinPartitions("block", "kind")
+    if not decoded:
+        return met.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    table = _decode(ranks)
+    return met.mapInArrow(lambda batches: table(_assemble(batches)), "doc_id long, ids array<int>, decoded binary")  # both in one worker
 
 
 @lru_cache(maxsize=2)
@@ -268,7 +290,7 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
 def digests(docs: DataFrame, ranks: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to; the ids as well if wanted."""
-    both = decode(encode(docs, ranks), ranks)
+    both = encode(docs, ranks, decoded=True)
     return both.select(
         "doc_id", *["ids"] * ids, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
