@@ -209,7 +209,7 @@ def test_bpe_as_the_library(spark, texts, hand):
     assert bpe.encode(hand.limit(0), RANKS).count() == 0
 
 
-def test_counts_and_files_as_the_library(spark, texts, hand):
+def test_counts_and_files_as_the_library(spark, texts, hand, tmp_path):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(JSON)
@@ -222,9 +222,17 @@ def test_counts_and_files_as_the_library(spark, texts, hand):
         at += len(ids)
     got = counts.token_counts(hand, JSON, ("doc_id", "kept")).collect()
     assert sorted(r.n_tokens for r in got) == sorted(len(lib.encode(t or "", add_special_tokens=False).ids) for _, t, _, _ in CASES)
-    path = f"{common.shared_dir(spark)}/empty-ids"
-    idfile.write(hand.limit(0), path, JSON)
-    assert idfile.read_documents(spark, path).count() == 0
+    idfile.write(hand.limit(0), f"file://{tmp_path}/none", JSON)
+    assert idfile.read_documents(spark, f"file://{tmp_path}/none").count() == 0
+    # Null ids come first, rows that share one by text; null and empty texts hold the end id alone.
+    idfile.write(hand, f"file://{tmp_path}/hand", JSON)
+    rows = sorted(((c[0], c[1] or "") for c in CASES), key=lambda r: (r[0] is not None, r[0] or 0))
+    want, at = [], 0
+    for d, t in rows:
+        n = len(lib.encode(t, add_special_tokens=False).ids) + 1
+        want.append((d, at, n))
+        at += n
+    assert [(r.doc_id, r.start, r.n_tokens) for r in idfile.read_documents(spark, f"file://{tmp_path}/hand").orderBy("start").collect()] == want
 
 
 def test_chunks_join_to_the_whole():
