@@ -23,6 +23,7 @@ MODULES = {
     "op8_secret_scan": "secrets",
     "op9_near_duplicates": "neardup",
     "op10_suffix_dedup": "repeats",
+    "op11_simhash_duplicates": "simhash",
 }
 
 

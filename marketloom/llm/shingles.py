@@ -85,6 +85,23 @@ def long_word_hashes(data: np.ndarray, piece: int = SLICE_BYTES) -> np.ndarray:
     return mixed(np.concatenate(done))
 
 
+def words_apart(at: np.ndarray, data: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the rows that start at ``at`` in the bytes, A-Z as a-z, each followed by one space: (bytes, start and length of each word in them, its row)."""
+    letter = ~_SPACE[data]
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    row_starts = at[:-1][np.diff(at) > 0]
+    first[row_starts] = letter[row_starts]
+    begin = np.flatnonzero(first)
+    size = np.add.reduceat(letter, begin, dtype=np.int64) if len(begin) else np.zeros(0, np.int64)
+    ends = np.cumsum(size + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+    inside = np.ones(len(out), bool)
+    inside[ends - 1] = False
+    out[inside] = _LOWER[data[letter]]
+    return out.tobytes(), ends - size - 1, size, np.searchsorted(at, begin, "right") - 1
+
+
 def _shingles(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Of every k words in a row, k being the number of weights."""
     n = max(0, len(words) - len(weights) + 1)
