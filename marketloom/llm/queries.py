@@ -24,6 +24,8 @@ MODULES = {
     "op9_near_duplicates": "neardup",
     "op10_suffix_dedup": "repeats",
     "op11_simhash_duplicates": "simhash",
+    "op12_prefix_trie": "trie",
+    "op13_periodic_runs": "runs",
 }
 
 
