@@ -11,7 +11,8 @@ lengths of gaps and matches add up to the offsets, in code points, in one pass.
 for each row, are a short table in the shared folder, which the join and the result read.
 
 Cases: null and empty texts have no spans; repeated rows keep one result each, as parts are joined within their row; equal
-spans are listed once; very long texts are scanned whole; columns of the input but ``text`` stay, null ones as they are, and
+spans are listed once; very long texts are scanned whole, in time that grows with their length (patterns give nothing back, no list is searched
+for each match), so chains of labels, runs of one class and lists of hashes of many MB are no harder than prose; columns of the input but ``text`` stay, null ones as they are, and
 those named base or spans are replaced; an empty table gives an empty result.
 """
 
@@ -31,13 +32,22 @@ BASE = {
     "access": (ACCESS, r"AKIA[A-Z0-9]{14}", 0, 18),
     "hex": (HEX, r"[0-9a-f]{16}", 0, 16),
 }
+_LABEL, _END = "[a-z0-9-]", r"(?:amazonaws|azure|googleapis|internal)\.[a-z]{2,6}"
+#: A host starts where a chain of labels does, and ends with the last of its labels that names a provider. Nothing of it is tried twice: loops over groups give
+#: nothing back, so the work is linear and its stack does not grow with the chain.
+HOST = rf"(?<!{_LABEL})(?<!{_LABEL}\.){_LABEL}++\.(?:(?:(?!{_END}){_LABEL}++\.)*+(?={_END}){_LABEL}++\.)++[a-z]{{2,6}}"
+#: The same matches, as an engine that does not backtrack may look for them.
+PLAIN_HOST = rf"{_LABEL}+(?:\.{_LABEL}+)*\.{_END}"
+ADDRESS = "https?://[a-z0-9.-]+"
 #: Parts that are weak alone. The pattern is delimited, so that each match is a maximal run.
 PARTS = {
     "key_id": (r"\b[A-Z][A-Z0-9]{15,31}\b", r"[A-Z][A-Z0-9]{15}", 0, 16),
     "key_value": (r"[A-Za-z0-9+/]{32,}={0,2}", r"[A-Za-z0-9+/]{32}", 0, 32),
-    "endpoint": (r"(?i:https?://[a-z0-9.-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:amazonaws|azure|googleapis|internal)\.[a-z]{2,6})", r"(?i:https?://|amazonaws|azure|googleapis|internal)", 0, 8),
+    "endpoint": (f"(?i:{ADDRESS}|{HOST})", r"(?i:https?://|amazonaws|azure|googleapis|internal)", 0, 8),
 }
 KINDS = [*BASE, *PARTS]
+#: Matches whose positions are summed up in one list.
+CHUNK = 256
 #: Two parts of a credential stand at most this many code points apart.
 SCOPE = 200
 
@@ -47,15 +57,21 @@ def _sql(text: str) -> str:
 
 
 def spans_of(kind: str, pattern: str, guard: str, group: int, least: int, text: str = "body") -> Column:
-    """Array of (start, rank, end) of the matches whose group is long enough; empty without any."""
-    p = _sql(pattern)
-    walk = f"""aggregate(zip_with(regexp_extract_all({text}, {p}, 0), zip_with(regexp_extract_all({text}, {p}, {group}),
-            split({text}, {p}, -1), (v, gap) -> struct(gap, length(v) as width)), (m, g) -> struct(length(g.gap) as gap, length(m) as n, g.width as width)),
-        struct(0 as at, cast(array() as array<struct<s:int,k:int,e:int>>) as found),
-        (a, x) -> if(x.n is null, a, struct(a.at + x.gap + x.n as at,
-            if(x.width >= {least}, concat(a.found, array(struct(a.at + x.gap as s, {KINDS.index(kind)} as k, a.at + x.gap + x.n as e))), a.found) as found)),
-        a -> a.found)"""
-    return F.expr(f"if({text} rlike {_sql(guard)}, {walk}, cast(array() as array<struct<s:int,k:int,e:int>>))")
+    """Array of (start, rank, end) of the matches whose group is long enough; empty without any.
+
+    Where a match starts is the sum of all gaps and matches before it. Sums are taken within chunks of CHUNK matches, and over the chunks,
+    so that what a list grown item by item copies stays within a chunk.
+    """
+    p, rank = _sql(pattern), KINDS.index(kind)
+    none = "cast(array() as array<struct<s:int,k:int,e:int>>)"
+    steps = f"""filter(zip_with(regexp_extract_all({text}, {p}, 0), zip_with(regexp_extract_all({text}, {p}, {group}),
+            split({text}, {p}, -1), (v, gap) -> struct(gap, length(v) as width)), (m, g) -> struct(length(g.gap) as gap, length(m) as n, g.width as width)), x -> x.n is not null)"""
+    chunks = f"transform(array({steps}), m -> transform(sequence(0, (size(m) - 1) div {CHUNK}), c -> slice(m, c * {CHUNK} + 1, {CHUNK})))[0]"
+    starts = "aggregate(c, array(0), (a, x) -> concat(a, array(element_at(a, -1) + aggregate(x, 0, (b, y) -> b + y.gap + y.n))))"
+    walk = f"""aggregate(x, struct(t as at, {none} as found),
+        (a, y) -> struct(a.at + y.gap + y.n as at, if(y.width >= {least}, concat(a.found, array(struct(a.at + y.gap as s, {rank} as k, a.at + y.gap + y.n as e))), a.found) as found), a -> a.found)"""
+    spans = f"transform(array({chunks}), c -> flatten(zip_with(c, slice({starts}, 1, size(c)), (x, t) -> {walk})))[0]"
+    return F.expr(f"if({text} rlike {_sql(guard)}, {spans}, {none})")
 
 
 def listed(spans: str) -> Column:
@@ -72,29 +88,29 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def linked(scanned: DataFrame, key: str = "row_key", scope: int = SCOPE) -> DataFrame:
-    """(key, links): the weak parts that have a part of another kind within ``scope`` that they do not overlap. key: unique to a row.
+    """(key, links): the weak parts, if any, that have a part of another kind within ``scope`` that they do not overlap. key: unique to a row.
 
     An access span serves as key_id, an assign span as key_value. Parts fall into cells of ``scope``
     code points; one side is copied to its neighbouring cells, so each near pair meets in just one.
     """
-    as_part = f"transform(filter(base, x -> x.k < 2), x -> struct(x.s as s, if(x.k = 0, {KINDS.index('key_value')}, {KINDS.index('key_id')}) as k, x.e as e))"
+    as_part = f"transform(filter(base, x -> x.k < 2), x -> struct(x.s as s, if(x.k = 0, {KINDS.index('key_value')}, {KINDS.index('key_id')}) as k, x.e as e, false as weak))"
     parts = (
         scanned.filter(F.size("weak") > 0)
-        .select(key, F.expr(f"array_distinct(concat(weak, {as_part}))").alias("parts"))
+        .select(key, F.expr(f"concat(transform(weak, x -> struct(x.s as s, x.k as k, x.e as e, true as weak)), {as_part})").alias("parts"))
         .filter("size(array_distinct(transform(parts, x -> x.k))) > 1")
         .select(key, F.explode("parts").alias("p"))
-        .select(key, "p.s", "p.k", "p.e")
+        .select(key, "p.s", "p.k", "p.e", "p.weak")
     )
     own = parts.withColumn("cell", F.expr(f"s div {scope}"))
     # An end lies in its own cell or, for a long part, further on: the other side covers every cell it may meet.
     near = parts.select(
-        key, F.col("s").alias("s2"), F.col("k").alias("k2"), F.col("e").alias("e2"),
+        key, F.col("s").alias("s2"), F.col("k").alias("k2"), F.col("e").alias("e2"), F.col("weak").alias("weak2"),
         F.explode(F.expr(f"sequence(greatest(0, s - {scope}) div {scope} - 1, (e + {scope}) div {scope})")).alias("cell"),
     )
     met = own.join(near, [key, "cell"]).filter(f"k <> k2 and s2 <= e + {scope} and s <= e2 + {scope} and (e <= s2 or e2 <= s)")
     # A pair may meet from one side only when a part is longer than a cell; so both of its parts are taken.
-    both = met.select(key, F.explode(F.array(F.struct("s", "k", "e"), F.struct(F.col("s2").alias("s"), F.col("k2").alias("k"), F.col("e2").alias("e")))).alias("p"))
-    return both.groupBy(key).agg(F.collect_set("p").alias("links"))
+    both = met.select(key, F.explode(F.array(F.struct("s", "k", "e", "weak"), F.struct(F.col("s2").alias("s"), F.col("k2").alias("k"), F.col("e2").alias("e"), F.col("weak2").alias("weak")))).alias("p"))
+    return both.filter("p.weak").groupBy(key).agg(F.collect_set(F.struct("p.s", "p.k", "p.e")).alias("links"))
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -103,8 +119,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     scanned = stored(scan(docs).withColumn("row_key", F.monotonically_increasing_id()), "scanned")
     links = stored(linked(scanned, "row_key", scope), "linked")
     near = small_or_not(links, links.count(), 500)
-    kept = F.expr("array_intersect(weak, links)")
-    spans = F.when(F.col("links").isNull(), F.col("base")).otherwise(F.sort_array(F.array_distinct(F.concat("base", kept))))
+    spans = F.when(F.col("links").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "links")))
     return scanned.join(near, "row_key", "left").select("doc.*", "base", spans.alias("spans"))
 
 
@@ -127,7 +142,8 @@ def _kind_sql(kind: str, pattern: str, guard: str, group: int, least: int) -> st
 
 
 def _sql_twin() -> str:
-    found = " UNION ALL ".join(_kind_sql(k, *v) for k, v in (BASE | PARTS).items())
+    plain = BASE | PARTS | {"endpoint": (f"(?i:{ADDRESS}|{PLAIN_HOST})", *PARTS["endpoint"][1:])}
+    found = " UNION ALL ".join(_kind_sql(k, *v) for k, v in plain.items())
     one = "kind || ':' || s || ':' || e"
     return f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS body FROM documents), f AS MATERIALIZED ({found}),
