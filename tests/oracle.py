@@ -15,6 +15,9 @@ def connect(sf_dir):
 
 def same(df, sql, sf_dir):
     a, b = df.toPandas(), connect(sf_dir).sql(sql).df()
+    for f in df.schema:  # pandas makes floats of whole numbers beside nulls
+        if f.dataType.typeName() in ("long", "integer"):
+            a[f.name], b[f.name] = a[f.name].astype("Int64"), b[f.name].astype("Int64")
     cols = sorted(a.columns)
     assert cols == sorted(b.columns)
     a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (a, b))
