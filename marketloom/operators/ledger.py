@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import STAGES, STATUSES, TABLES
+from ..schemas import STAGES
 
 
 def held(rows: DataFrame, stage: str | Column, reason: Column, payload: list[str], source: str | None, run_id: str | None, now: Column | None = None) -> DataFrame:
@@ -34,12 +34,3 @@ def status_of(discovered: bool, files_failed: int) -> str:
 
 
 EXIT_CODES = {"succeeded": 0, "failed": 1, "partial": 2}
-
-
-def run_row(spark: SparkSession, **values) -> DataFrame:
-    """One row of the ledger, checked as the table's constraints would."""
-    if values["status"] not in STATUSES:
-        raise ValueError(f"no status {values['status']}")
-    if values.get("finished_at") and values["finished_at"] < values["started_at"]:
-        raise ValueError("a run cannot finish before it has started")
-    return spark.createDataFrame([values], TABLES["ingestion_runs"])

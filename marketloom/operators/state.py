@@ -1,17 +1,17 @@
 """The revisioned fact table: collapse of a batch, replay of a history, incremental upsert.
 
 Parquet has no MERGE, so an upsert computes a chain of versions of every key: the last one is the state, the ones before it are
-archived. ``publish`` writes a chain as one version folder, which readers are told of. One writer at a time.
+archived. ``store`` keeps chains by month.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import FIGURES, NATURAL_KEY, TABLES
+from ..schemas import FIGURES, NATURAL_KEY
 
 FIGURE_COLUMNS = (*FIGURES, "unavailable")
 
@@ -135,45 +135,3 @@ def _upserted(stored: DataFrame, batch: DataFrame, order: str, now: Column | Non
     sums = parts.agg(*[F.sum(c).alias(c) for c in parts.columns])
     outcome = sums.select("inserted", "revised", F.expr("rows - disputed - inserted - revised").alias("unchanged"), "conflicts", "rejected")
     return Upsert(state_of(chain), revisions_of(chain, now), outcome, chain, cut.conflicts)
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions of a store that have been written whole."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    named = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("v=")]
-    return sorted(int(p.getName()[2:]) for p in named if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def publish(chain: DataFrame, path: str, version: int) -> bool:
-    """Write a chain as a version folder, once: a version written whole stays as it is, a half-written one is replaced. Whether it was written."""
-    spark = chain.sparkSession
-    if version in _versions(spark, path):
-        return False
-    chain.write.mode("overwrite").partitionBy("is_current").parquet(f"{path.rstrip('/')}/v={version:08d}")
-    return True
-
-
-def _chain_schema() -> str:
-    return TABLES["price_observations"].replace("ingested_at", "at") + ", kind string"
-
-
-def read_state(spark: SparkSession, path: str, below: int | None = None) -> DataFrame:
-    """The state of the last whole version, or of the last one below a number; empty without any."""
-    found = [v for v in _versions(spark, path) if below is None or v < below]
-    if not found:
-        return spark.createDataFrame([], TABLES["price_observations"])
-    rows = spark.read.schema(_chain_schema() + ", is_current boolean").parquet(f"{path.rstrip('/')}/v={found[-1]:08d}").filter("is_current")
-    return rows.select(*NATURAL_KEY, *FIGURE_COLUMNS, "revision_no", "source_file_sha256", F.col("at").alias("ingested_at"))
-
-
-def read_revisions(spark: SparkSession, path: str) -> DataFrame:
-    """All archived rows of a store, with the version that superseded them."""
-    out = spark.createDataFrame([], _chain_schema() + ", is_current boolean, version int")
-    for v in _versions(spark, path):
-        rows = spark.read.schema(_chain_schema() + ", is_current boolean").parquet(f"{path.rstrip('/')}/v={v:08d}")
-        out = out.unionByName(rows.filter("not is_current").withColumn("version", F.lit(v)))
-    return out.drop("is_current", "kind", "at")

@@ -53,7 +53,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import sheet_queries  # noqa: F401  registers its queries here
+    from . import robots_queries, sheet_queries, store_queries  # noqa: F401  register their queries here
 
     return dict(_queries)
 

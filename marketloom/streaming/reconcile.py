@@ -1,11 +1,15 @@
-"""The price table kept from a stream: each micro-batch is one upsert, published as a new version."""
+"""The price table kept from a stream: each micro-batch is one commit."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
+from ..operators.store import Store, quarantine_id
+from ..storage import stored
 
 
 def daily_prices(events: DataFrame, lateness: str = "14 days") -> DataFrame:
@@ -23,18 +27,22 @@ def first_sightings(urls: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 class Upserter:
-    """foreachBatch sink into a versioned store: a batch is one upsert on the last whole version below it.
+    """foreachBatch sink into a store: a batch is one commit, which reads and writes the months that it touches.
 
-    Nothing is kept in memory. After a restart the state is read from the store; a batch that runs again finds its own version
-    written whole, and does nothing, or half-written, and replaces it. State and revisions are one write.
+    Nothing is kept in memory. After a restart the state is read from the store; a batch that runs again finds that it has been committed and does
+    nothing. ``held`` makes quarantine rows of a batch; they and the facts are to be seen together or not at all.
     """
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, writer: str = "stream", held: Callable[[DataFrame], DataFrame] | None = None):
+        self.path, self.writer, self.held = path, writer, held
 
     def current(self, spark: SparkSession) -> DataFrame:
-        return state.read_state(spark, self.path)
+        return Store(spark, self.path).observations()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = state.read_state(batch.sparkSession, self.path, below=batch_id)
-        state.publish(state.upsert(before, batch).chain, self.path, batch_id)
+        store = Store(batch.sparkSession, self.path)
+        if store.head().writers.get(self.writer, -1) >= batch_id:
+            return
+        batch = stored(batch, "micro-batch")  # read for its months, its kinds and its late repeats
+        tables = {"quarantine": quarantine_id(self.held(batch))} if self.held else None
+        store.commit(state.upsert(store.around(batch), batch).chain, tables, writer=self.writer, batch=batch_id)

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import state
+from marketloom.operators import ledger, state
+from marketloom.operators.store import Store
 from marketloom.streaming import reconcile
 
 from .test_state import batch
@@ -23,7 +24,7 @@ def test_state_survives_a_restart(spark, store):
     again = reconcile.Upserter(store)
     again(batch(spark, [(2, "21.00", "b"), (3, "30.00", "b")]), 1)
     assert prices(again.current(spark)) == {1: ("10.00", 0), 2: ("21.00", 1), 3: ("30.00", 0)}
-    assert [(str(r.average), r.revision_no, r.version) for r in state.read_revisions(spark, store).collect()] == [("20.00", 0, 1)]
+    assert [(str(r.average), r.revision_no, r.c) for r in Store(spark, store).revisions().collect()] == [("20.00", 0, 2)]
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, store):
@@ -33,15 +34,29 @@ def test_a_batch_that_runs_again_changes_nothing(spark, store):
     sink(two, 1)
     before = sink.current(spark).collect()
     sink(two, 1)
-    assert sink.current(spark).collect() == before
-    # A batch that failed while it wrote leaves a folder without the mark of a whole one.
-    state.upsert(state.read_state(spark, store), two).chain.limit(0).write.partitionBy("is_current").parquet(f"{store}/v=00000002")
-    (marks := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/v=00000002/_SUCCESS")).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(marks, False)
+    sink(one, 0)
+    assert sink.current(spark).collect() == before and Store(spark, store).head().number == 2
+    # A batch that failed while it wrote leaves a folder that no record names.
+    state.upsert(Store(spark, store).observations(), two).chain.limit(0).write.parquet(f"{store}/prices/c=00000003")
     assert sink.current(spark).collect() == before
     sink(batch(spark, [(1, "12.00", "c")]), 2)
     assert prices(sink.current(spark)) == {1: ("12.00", 2)}
 
 
+def test_facts_and_what_is_held_back_come_together(spark, store, monkeypatch):
+    held = lambda rows: ledger.held(rows.withColumn("file_sha", F.col("source_file_sha256")), "validate", F.when(F.col("average") > 15, "dear"), ["average"], "s", "stream")
+    sink = reconcile.Upserter(store, held=held)
+    sink(batch(spark, [(1, "10.00", "a"), (2, "20.00", "a")]), 0)
+    publish = Store._publish
+    monkeypatch.setattr(Store, "_publish", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        sink(batch(spark, [(1, "30.00", "b")]), 1)
+    assert prices(sink.current(spark)) == {1: ("10.00", 0), 2: ("20.00", 0)} and Store(spark, store).quarantine().count() == 1
+    monkeypatch.setattr(Store, "_publish", publish)
+    sink(batch(spark, [(1, "30.00", "b")]), 1)
+    assert prices(sink.current(spark)) == {1: ("30.00", 1), 2: ("20.00", 0)} and Store(spark, store).quarantine().count() == 2
+
+
 def events(spark, path, rows):
     df = spark.createDataFrame(rows, "ts timestamp, user_id long, event_type string, value double, url string")
     df.coalesce(1).write.mode("append").parquet(path)
@@ -70,7 +85,7 @@ def test_streams_from_files(spark, tmp_path, store):
 
     def once():
         run("facts", lambda s: facts(s.filter("event_type = 'view'")), lambda w: w.foreachBatch(reconcile.Upserter(store)))
-        return [(r.market, str(r.average), r.revision_no) for r in state.read_state(spark, store).collect()]
+        return [(r.market, str(r.average), r.revision_no) for r in Store(spark, store).observations().collect()]
 
     assert once() == [(2, "4.00", 0)]
     events(spark, src, [(day(2), 2, "view", 5.0, "c")])
