@@ -16,13 +16,14 @@ moves weight from large values to small ones.
 
 Cases: null source or language is a value of its own; null or empty texts have no tokens and go with their cell; a
 value without a target keeps its observed share; a target that no cell can serve (a value without tokens, margins that
-contradict each other) stays as residual; rows that share a doc_id have one fate within a cell; cells without tokens keep
+contradict each other) stays as ``residual``, and is warned of; rows that share a doc_id have one fate within a cell; cells without tokens keep
 all rows, once; columns of the input stay, but those named like an added one are replaced; very long texts are one row
 like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,14 +34,16 @@ from .quality import SPACE
 
 MARGINS = ("source", "lang", "topic")
 KEYS = [f"m_{m}" for m in MARGINS]
-ADDED = ("n_tokens", *KEYS, "ratio", "probability", "copies", "kept")
+ADDED = ("n_tokens", *KEYS, "ratio", "probability", "copies", "kept", "residual")
 #: The residual (of the total) at which passes end, and at most so many passes.
 TOLERANCE, PASSES = 1e-12, 200
+#: A pass that leaves more than this part of the residual has not lessened it.
+STILL = 0.999
 LARGEST = 1e60
 #: Ranges of the hash whose tokens are summed for each cell.
 BINS = 1024
-#: Up to so many cells (of about 100 bytes) are fitted in one row of arrays, without an exchange; more stay a table.
-CELLS = 1 << 16
+#: A residual above this is warned of.
+REPORTED = 1e-6
 TEMPER = 0.7
 SEED = 17
 
@@ -65,94 +68,71 @@ def with_cells(docs: DataFrame, topic: str = TOPIC, tokens: str = TOKENS) -> Dat
     })
 
 
-def _targets(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """cells with t_source, t_lang and t_topic: the tokens that the cell's value of each marginal should have."""
-    all_cells = Window.partitionBy()
-    out = cells.withColumn("total", F.sum("tokens").over(all_cells).cast("double"))
-    for m in MARGINS:
-        value = Window.partitionBy(f"m_{m}")
-        own = F.sum("tokens").over(value).cast("double")
-        share = F.pow(own, F.lit(TEMPER))
-        if given := targets.get(m):
-            known = F.create_map(*[F.lit(x) for pair in given.items() for x in (pair[0], float(pair[1]))])
-            share = F.coalesce(F.element_at(known, F.col(f"m_{m}")), F.when(F.col("total") > 0, own / F.col("total")), F.lit(0.0))
-        # A value's share stands in each of its cells, and is summed once.
-        out = out.withColumns({"_s": share, "_n": F.count("*").over(value)}).withColumn("_all", F.sum(F.col("_s") / F.col("_n")).over(all_cells))
-        out = out.withColumn(f"t_{m}", F.when(F.col("_all") > 0, F.col("_s") / F.col("_all") * F.col("total")).otherwise(0.0)).drop("_s", "_n", "_all")
-    return out
-
-
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, cells_together: int = CELLS) -> DataFrame:
+def _targets(cells: DataFrame, margin: str, given: Mapping[str, float] | None, total: float) -> DataFrame:
+    """The values of a marginal, each with ``t``, the tokens that it should have, and a factor ``f`` of 1."""
+    own = cells.groupBy(f"m_{margin}").agg(F.sum("tokens").cast("double").alias("own"))
+    share = F.pow("own", F.lit(TEMPER))
+    if given:
+        wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], "value string, share double")
+        own = own.join(wanted, own[f"m_{margin}"] == wanted["value"], "left")
+        share = F.coalesce("share", F.col("own") / F.lit(total) if total else F.lit(0.0))
+    own = stored(own.select(f"m_{margin}", share.alias("s")), "values")
+    whole = own.agg(F.sum("s")).first()[0] or 0.0
+    return own.select(f"m_{margin}", (F.col("s") / F.lit(whole) * F.lit(total) if whole else F.lit(0.0)).alias("t"), F.lit(1.0).alias("f"))
+
+
+def _with_factors(cells: DataFrame, values: Mapping[str, DataFrame], sizes: Mapping[str, int], margins) -> DataFrame:
+    """cells with f_source, f_lang or f_topic, by tables that are broadcast while their counted values are few."""
+    for m in margins:
+        cells = cells.join(small_or_not(values[m].select(f"m_{m}", F.col("f").alias(f"f_{m}")), sizes[m], 100), f"m_{m}")
+    return cells
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None) -> DataFrame:
     """cells (m_source, m_lang, m_topic, tokens) with ``weight``: calibrated tokens, of the same total, and ``residual``: the largest
-    difference of a marginal from its target, as a part of the total, before the last pass.
+    difference of a marginal from its target, as a part of the total, in the last pass.
 
-    A weight is the tokens times a factor for each of its three values. Where the counted cells are few, the factors are arrays of
-    one row and all passes one expression; else each pass is a table with window sums for marginals.
+    A weight is the tokens times a factor for each of its three values. A step solves the factors of one marginal, given the other
+    two: sums by value, combined in each task before they move. Cells never move, and no task has them all. Targets that contradict each other leave a residual that
+    two passes do not lessen, or drive factors apart without end: the last ones within bounds stay.
     """
-    few = cells.count() <= cells_together
-    wanted = _targets(cells.coalesce(1) if few else cells, targets or {})
-    return _in_one_row(wanted) if few else _by_tables(wanted)
-
-
-def _in_one_row(wanted: DataFrame) -> DataFrame:
-    numbered = stored(wanted.withColumns({f"i_{m}": F.dense_rank().over(Window.orderBy(f"m_{m}")) - 1 for m in MARGINS}), "numbered").coalesce(1)
-
-    def lists(m: str) -> DataFrame:
-        """Each value of a marginal by number, with its target and cells: the numbers of their two other values, and tokens."""
-        p, q = (x for x in MARGINS if x != m)
-        cell = F.collect_list(F.struct(F.col(f"i_{p}").alias("p"), F.col(f"i_{q}").alias("q"), F.col("tokens").cast("double").alias("n")))
-        return numbered.groupBy(F.lit(m).alias("margin"), F.col(f"i_{m}").alias("i"), F.col(f"m_{m}").alias("v")).agg(F.first(f"t_{m}").alias("t"), cell.alias("cells"))
-
-    rows = lists("source").union(lists("lang")).union(lists("topic")).coalesce(1)
-    one = rows.groupBy().agg(*[F.sort_array(F.collect_list(F.when(F.col("margin") == m, F.struct("i", "v", "t", "cells")))).alias(m) for m in MARGINS])
-    one = one.withColumn("total", F.expr("aggregate(source, 0D, (a, x) -> a + x.t)"))
-
-    def solved(m: str, f: str, g: str) -> str:
-        """The factors of a marginal that meet its targets, given the other two."""
-        return f"transform({m}, x -> transform(array(aggregate(x.cells, 0D, (acc, y) -> acc + y.n * {f}[y.p] * {g}[y.q])), z -> if(z > 0, x.t / z, 1D))[0])"
-
-    def off(m: str, old: str, new: str) -> str:
-        return f"coalesce(array_max(zip_with({m}, zip_with({old}, {new}, (o, w) -> if(w > 0, abs(o / w - 1), 0D)), (x, e) -> e * x.t)), 0D)"
-
-    # Targets that contradict each other drive factors apart without end: the last ones within bounds stay.
-    step = f"""transform(transform(transform(array({solved("source", "s.b", "s.c")}), a -> struct(a, {solved("lang", "a", "s.c")} as b)),
-        u -> struct(u.a as a, u.b as b, {solved("topic", "u.a", "u.b")} as c, if(total > 0, greatest({off("source", "s.a", "u.a")}, {off("lang", "s.b", "u.b")}) / total, 0D) as off)),
-        u -> if(greatest(array_max(u.a), array_max(u.b), array_max(u.c)) > {LARGEST}D, struct(s.a as a, s.b as b, s.c as c, s.off as off, true as done),
-                struct(u.a as a, u.b as b, u.c as c, u.off as off, u.off <= {TOLERANCE}D as done)))[0]"""
-    begin = ", ".join(f"transform({m}, x -> 1D) as {f}" for m, f in zip(MARGINS, "abc"))
-    fit = one.withColumn("fit", F.expr(f"aggregate(sequence(1, {PASSES}), struct({begin}, 1D as off, false as done), (s, k) -> if(s.done, s, {step}))"))
-    flat = """flatten(transform(source, (x, i) -> transform(x.cells, y -> struct(x.v as m_source, lang[y.p].v as m_lang, topic[y.q].v as m_topic, bigint(y.n) as tokens,
-        y.n * fit.a[i] * fit.b[y.p] * fit.c[y.q] as weight, fit.off as residual))))"""
-    return fit.select(F.expr(f"inline({flat})"))
-
-
-def _by_tables(wanted: DataFrame) -> DataFrame:
-    now = wanted.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(PASSES):
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    values = {m: _targets(cells, m, (targets or {}).get(m), total) for m in MARGINS}
+    sizes = {m: v.count() for m, v in values.items()}
+    residual, still = 0.0, 0
+    for k in range(PASSES if total else 0):
+        new = dict(values)
         for m in MARGINS:
-            now = now.withColumn("_sum", F.sum("weight").over(Window.partitionBy(f"m_{m}")))
-            now = now.withColumns({
-                "weight": F.when(F.col("_sum") > 0, F.col("weight") * F.col(f"t_{m}") / F.col("_sum")).otherwise(F.col("weight")),
-                f"o_{m}": F.when(F.col("total") > 0, F.abs(F.col("_sum") - F.col(f"t_{m}")) / F.col("total")).otherwise(0.0),
-            })
-        now = now.withColumn("residual", F.greatest(*[F.col(f"o_{m}") for m in MARGINS])).drop("_sum", *[f"o_{m}" for m in MARGINS])
-        now = stored(now, "raked")  # a table a pass: the plan stays small
-        worst = now.agg(F.max("residual")).first()[0] or 0.0
-        if worst <= TOLERANCE:
+            others = [x for x in MARGINS if x != m]
+            n = F.col("tokens").cast("double") * F.col(f"f_{others[0]}") * F.col(f"f_{others[1]}")
+            sums = _with_factors(cells, new, sizes, others).groupBy(f"m_{m}").agg(F.sum(n).alias("z"))
+            solved = sums.join(small_or_not(new[m], sizes[m], 100), f"m_{m}").withColumn("to", F.when(F.col("z") > 0, F.col("t") / F.col("z")).otherwise(1.0))
+            off = F.when(F.col("to") > 0, F.abs(F.col("f") / F.col("to") - 1) * F.col("t")).otherwise(0.0)
+            new[m] = stored(solved.select(f"m_{m}", "t", F.col("to").alias("f"), off.alias("off")), "factors")
+        off, largest = new["source"].select("off", "f").union(new["lang"].select("off", "f")).union(new["topic"].select("off", "f")).agg(F.max("off"), F.max("f")).first()
+        if largest > LARGEST:
+            break
+        still = still + 1 if k and off / total > STILL * residual else 0
+        values, residual = new, off / total
+        if residual <= TOLERANCE or still == 2:
             break
-    return now.select(*KEYS, "tokens", "weight", F.lit(worst).alias("residual"))
+    if residual > REPORTED:
+        warnings.warn(f"the targets cannot be met together: a marginal is off by {residual:.3g} of all tokens", stacklevel=2)
+    weight = F.col("tokens") * F.col("f_source") * F.col("f_lang") * F.col("f_topic")
+    return _with_factors(cells, values, sizes, MARGINS).select(*KEYS, "tokens", weight.alias("weight"), F.lit(residual).alias("residual"))
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, topic: str = TOPIC, tokens: str = TOKENS) -> DataFrame:
-    """docs with n_tokens, the marginals, ``ratio``, ``probability`` and ``kept``, and ``copies``."""
+    """docs with n_tokens, the marginals, ``ratio``, ``probability`` and ``kept``, ``copies``, and ``residual``: by how much of all tokens the fit misses its targets."""
     own = [c for c in docs.columns if c not in ADDED]
     packed = with_cells(docs, topic, tokens).select(F.struct(*own).alias("doc"), "n_tokens", *KEYS, uniform().alias("u"))
     bins = stored(packed.groupBy(*KEYS, F.floor(F.col("u") * BINS).alias("bin")).agg(F.sum("n_tokens").alias("n")), "bins")
     cells = stored(bins.groupBy(*KEYS).agg(F.sum("n").alias("tokens")), "cells")
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-    most = F.max(F.when(F.col("tokens") > 0, F.col("ratio"))).over(Window.partitionBy())
-    fitted = rake(cells, targets).withColumn("ratio", ratio).withColumn("probability", F.when(F.col("tokens") > 0, F.col("ratio") / most).otherwise(1.0))
-    fitted = stored(fitted.select(*KEYS, "tokens", "ratio", "probability"), "fitted")
+    raked = stored(rake(cells, targets).withColumn("ratio", ratio), "raked")
+    most = raked.filter("tokens > 0").agg(F.max("ratio")).first()[0] or 1.0
+    probability = F.when(F.col("tokens") > 0, F.col("ratio") / F.lit(most)).otherwise(1.0)
+    fitted = raked.select(*KEYS, "tokens", "ratio", probability.alias("probability"), "residual")
     so_far = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     ranges = bins.join(fitted, KEYS).withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
 
@@ -164,7 +144,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
         return F.when(F.max(part) >= 1, 1.0).otherwise(F.coalesce(reached, F.lit(0.0)))
 
     p, more = F.col("probability"), F.col("ratio") - F.floor("ratio")
-    cuts = ranges.groupBy(*KEYS).agg(F.first("ratio").alias("ratio"), F.first("probability").alias("probability"), cut(p).alias("cut"), cut(more).alias("cut_more"))
+    cuts = ranges.groupBy(*KEYS).agg(F.first("ratio").alias("ratio"), F.first("probability").alias("probability"), F.first("residual").alias("residual"), cut(p).alias("cut"), cut(more).alias("cut_more"))
     cuts = stored(cuts, "cuts")
     both = packed.join(small_or_not(cuts, cuts.count(), 200), KEYS)
     taken = both.withColumns({"copies": F.floor("ratio") + (F.col("u") < F.col("cut_more")).cast("long"), "kept": F.col("u") < F.col("cut")})

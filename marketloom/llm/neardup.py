@@ -11,8 +11,10 @@ connected. Buckets that still hold several components are then compared exactly,
 sets is left out: families of such buckets of at most FAMILY sets and SHINGLES shingles go to one task each, where one matrix product counts all
 intersections; larger ones go bucket by bucket, and buckets above that size in pairs of blocks.
 
+Sets are gathered, and classes linked, by their text; ids are attached at the end.
+
 Cases: texts without words link with nothing and are their own component; rows that share a doc_id are
-one document of the graph with the sets of both; a row without doc_id takes the component of an equal
+one document of the graph, linked by each of their texts; a row without doc_id takes the component of an equal
 set, or null, and is kept; of a group the least doc_id stays; very long texts are read piece by piece; other columns are not
 returned by ``near_duplicates``, whatever their names, and all are by ``drop_near_duplicates``; an empty table gives an empty result.
 """
@@ -60,11 +62,11 @@ def _signatures(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = column(batch, "doc_id")
-            for first, sets in shingle_sets(column(batch, "text"), k):
+            for _, sets in shingle_sets(column(batch, "text"), k):
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
                 flat = np.concatenate(sets).view(np.int64)
-                yield pa.record_batch({"v": ids[first : first + len(sets)], "s": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))})
+                same = pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())
+                yield pa.record_batch({"same": same, "s": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))})
 
     return run
 
@@ -179,9 +181,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     classes = (
         signed.filter("n_shingles > 0 and doc_id is not null")
         .groupBy("same")
-        .agg(F.min("doc_id").alias("v"), F.first("n_shingles").cast("int").alias("n"), F.first("hashes").alias("hashes"))
+        .agg(F.min("doc_id").alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("hashes").alias("hashes"))
     )
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("v", F.monotonically_increasing_id()), "classes")  # a number that is written down with its class
     tables = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("hashes")[i], F.col("hashes")[j]) for i, j in combinations(range(COLLECTIONS), 2)])
     rows = classes.select("v", "n", F.explode(tables).alias("key"))
     pivot = F.min(F.struct(F.xxhash64("v", "key").alias("h"), F.col("v").alias("b"), F.col("n").alias("nb"))).alias("pivot")
@@ -189,23 +191,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     # Only the members of buckets with company are kept, with their pivot.
     members = stored(rows.join(buckets, "key"), "members")
     pairs = members.filter("v <> b").filter(alike("n", "nb", threshold)).groupBy(F.col("v").alias("a"), "b").agg(F.count("*").alias("weight"))
-    touched = members.select("v").distinct()
-    touched = stored(touched, "touched")
-    near = small_or_not(touched, touched.count(), 16)
-    texts = given.join(near, given["doc_id"] == near["v"], "left_semi")
-    sets = stored(texts.mapInArrow(_sets(shingle), "v long, s array<long>").groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s")), "sets")
+    touched = stored(classes.join(members.select("v").distinct(), "v", "left_semi").select("v", "same", "least"), "touched")
+    near = small_or_not(touched, touched.count(), 48)
+    texts = given.join(near, given["doc_id"] == near["least"], "left_semi")
+    # A row of such an id may have another text, which then is of no class here or of its own.
+    sets = stored(texts.mapInArrow(_sets(shingle), "same binary, s array<long>").join(near.select("v", "same"), "same").groupBy("v").agg(F.first("s").alias("s")), "sets")
     graph = _Graph(docs.sparkSession, sets, threshold)
     graph.settle(pairs)
+    shared = stored(_shared_ids(signed, classes), "shared")
+    if not shared.isEmpty():
+        graph.add(shared)
     links = stored(_rest(graph, members), "links")
     if not links.isEmpty():
         graph.add(links)
-    label = graph.labels.select("v", "label")
-    found = classes.join(label, "v", "left").select("same", F.coalesce("label", "v").alias("component"))
+    linked = stored(classes.select("v", "least").join(graph.labels.select("v", "label"), "v"), "labels")
+    least = linked.select("v", "label").join(linked.groupBy("label").agg(F.min("least").alias("component")), "label").select("v", "component")
+    found = classes.select("v", "same", "least").join(least, "v", "left").select("same", F.coalesce("component", "least").alias("component"))
     out = signed.select("doc_id", "n_shingles", "same").join(found, "same", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def _shared_ids(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share a doc_id."""
+    own = signed.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "same").join(classes.select("same", "v"), "same").select("doc_id", "v")
+    several = own.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("most")).filter("a <> most").select("doc_id", "a")
+    return own.join(several, "doc_id").filter("v <> a").select("a", F.col("v").alias("b")).distinct()
+
+
 def _rest(graph: _Graph, members: DataFrame) -> DataFrame:
     """Links (a, b) between different components that share a bucket, by comparing full sets."""
     labelled = stored(graph.label(members.select("key", "v", "b", "n"), "v", "c"), "labelled")
