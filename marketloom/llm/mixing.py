@@ -26,7 +26,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, small_or_not, stored
@@ -101,15 +101,18 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
     sizes = {m: v.count() for m, v in values.items()}
     residual, still = 0.0, 0
     for k in range(PASSES if total else 0):
-        new = dict(values)
+        new, off, largest = dict(values), 0.0, 0.0
         for m in MARGINS:
             others = [x for x in MARGINS if x != m]
             n = F.col("tokens").cast("double") * F.col(f"f_{others[0]}") * F.col(f"f_{others[1]}")
             sums = _with_factors(cells, new, sizes, others).groupBy(f"m_{m}").agg(F.sum(n).alias("z"))
             solved = sums.join(small_or_not(new[m], sizes[m], 100), f"m_{m}").withColumn("to", F.when(F.col("z") > 0, F.col("t") / F.col("z")).otherwise(1.0))
-            off = F.when(F.col("to") > 0, F.abs(F.col("f") / F.col("to") - 1) * F.col("t")).otherwise(0.0)
-            new[m] = stored(solved.select(f"m_{m}", "t", F.col("to").alias("f"), off.alias("off")), "factors")
-        off, largest = new["source"].select("off", "f").union(new["lang"].select("off", "f")).union(new["topic"].select("off", "f")).agg(F.max("off"), F.max("f")).first()
+            apart = F.when(F.col("to") > 0, F.abs(F.col("f") / F.col("to") - 1) * F.col("t")).otherwise(0.0)
+            # One job a step: its table cuts the lineage, and what it leaves over is seen as it is written.
+            seen = Observation()
+            solved = solved.select(f"m_{m}", "t", F.col("to").alias("f"), apart.alias("apart")).observe(seen, F.max("apart").alias("apart"), F.max("f").alias("largest"))
+            new[m] = stored(solved.drop("apart"), "factors")
+            off, largest = max(off, seen.get["apart"] or 0.0), max(largest, seen.get["largest"] or 0.0)
         if largest > LARGEST:
             break
         still = still + 1 if k and off / total > STILL * residual else 0
