@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,29 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANKS, " "))
 
 
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Where folding a code point is more than lower case: those that become one other (from, to), and those that become several."""
+    one, several = {}, {}
+    for c in map(chr, range(0x110000)):
+        if not 0xD800 <= ord(c) < 0xE000 and (folded := c.casefold()) != c:
+            (one if len(folded) == 1 else several)[c] = folded
+    return "".join(one), "".join(one.values()), several
+
+
+def casefold(c: Column) -> Column:
+    """Text folded for caseless comparison: each code point by the table of its own, whatever stands beside it, so not as ``lower`` does it."""
+    source, target, several = _folds()
+    one = F.translate(c, source, target)
+    longer = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.regexp_extract_all(one, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(longer, x), x)), "")
+    folded = F.when(one.rlike(f"[{''.join(several)}]"), spelt).otherwise(one)
+    return F.when(c.rlike(r"\A[\x00-\x7f]*\z"), F.lower(c)).otherwise(folded)
+
+
 def alias_key(group: Column, name: Column, specification: Column) -> Column:
-    """The exact triple by which a commodity is known. Lower case stands in for case folding; the vocabulary is ASCII."""
-    return F.concat_ws(" | ", *[F.lower(collapse(c)) for c in (group, name, specification)])
+    """The exact triple by which a commodity is known, folded for caseless comparison."""
+    return F.concat_ws(" | ", *[casefold(collapse(c)) for c in (group, name, specification)])
 
 
 def normalise_place(c: Column) -> Column:
@@ -89,10 +111,6 @@ def robots_policy(status: Column, has_body: Column) -> Column:
     )
 
 
-def finite(c: Column) -> Column:
-    return F.when(F.abs(c) != F.lit(float("inf")), c)
-
-
 def peso(c: Column) -> Column:
     """An amount as it is shown; a missing one is a dash."""
     return F.coalesce(F.concat(F.lit("₱"), F.format_number(c, 2)), F.lit("—"))

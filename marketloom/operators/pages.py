@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..schemas import INPUT_GROUPS, PageRequest
 
 
+#: The total order of facts: date, then what else makes a fact unique.
+OBSERVATION_ORDER = ["observed_on", "commodity", "market", "source"]
 #: The spans that the chart offers.
 CHART_DAYS = (30, 90, 365)
 
@@ -24,6 +26,35 @@ def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 
 
+def page_and_total(df: DataFrame, order: list, request: PageRequest = PageRequest()) -> tuple[list[Row], int]:
+    """(rows of a page, number of all rows) from one job over one scan: rows are counted as they pass by on their way to the page."""
+    seen = Observation()
+    rows = page(df.observe(seen, F.count(F.lit(1)).alias("total")), order, request).collect()  # at most a page
+    return rows, seen.get["total"]
+
+
+def seek(df: DataFrame, order: list[str], after: Row | dict | None, limit: int = 50) -> DataFrame:
+    """The page after a row, which is given by its values of ``order`` (names, a leading - for descending; unique together).
+
+    What stands before it is filtered out, by the scan where it can, instead of being sorted to be skipped. Nulls come first in
+    ascending and last in descending order, as Spark sorts them.
+    """
+    PageRequest(limit)
+    names = [(o.removeprefix("-"), o.startswith("-")) for o in order]
+    if after is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for name, down in names:
+            value = after[name]
+            if down:
+                later = (F.col(name) < F.lit(value)) | F.col(name).isNull() if value is not None else F.lit(False)
+            else:
+                later = F.col(name) > F.lit(value) if value is not None else F.col(name).isNotNull()
+            beyond = beyond | (same & F.coalesce(later, F.lit(False)))
+            same = same & F.col(name).eqNullSafe(F.lit(value))
+        df = df.filter(beyond)
+    return df.orderBy(*[F.desc(n) if down else F.asc(n) for n, down in names]).limit(limit)
+
+
 def dated(facts: DataFrame, date_from: dt.date | None = None, date_to: dt.date | None = None) -> DataFrame:
     if date_from:
         facts = facts.filter(F.col("observed_on") >= F.lit(date_from))

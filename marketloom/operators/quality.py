@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 
 def per_source(sources: DataFrame, runs: DataFrame) -> DataFrame:
-    """Runs of every source, those without any included; the rate of success is null without runs."""
-    ran = runs.withColumn("_ran", F.lit(1))
+    """Runs of every source, those without any included; the rate of success is null without runs.
+
+    Runs are summed by source first, in each task before they move, so one busy source is one row of each task; the sums then join the sources.
+    """
     one = lambda s: F.count_if(F.col("status") == s)
-    out = (
-        sources.select("slug", "name")
-        .join(ran, sources["slug"] == ran["source"], "left")
-        .groupBy("slug", "name")
-        .agg(
-            F.count("_ran").alias("runs"), one("succeeded").alias("succeeded"), one("failed").alias("failed"), one("partial").alias("partial"),
-            F.max("started_at").alias("last_run_at"), F.max(F.when(F.col("status") == "succeeded", F.col("started_at"))).alias("last_success_at"),
-            F.coalesce(F.sum("rows_upserted"), F.lit(0)).alias("rows_upserted"), F.coalesce(F.sum("rows_quarantined"), F.lit(0)).alias("rows_quarantined"),
-        )
+    sums = runs.groupBy(F.col("source").alias("slug")).agg(
+        F.count("*").alias("runs"), one("succeeded").alias("succeeded"), one("failed").alias("failed"), one("partial").alias("partial"),
+        F.max("started_at").alias("last_run_at"), F.max(F.when(F.col("status") == "succeeded", F.col("started_at"))).alias("last_success_at"),
+        F.sum("rows_upserted").alias("rows_upserted"), F.sum("rows_quarantined").alias("rows_quarantined"),
     )
+    out = sources.select("slug", "name").join(sums, "slug", "left").fillna(0, ["runs", "succeeded", "failed", "partial", "rows_upserted", "rows_quarantined"])
     return out.withColumn("success_rate", F.when(F.col("runs") > 0, F.col("succeeded") / F.col("runs"))).orderBy("slug")
 
 

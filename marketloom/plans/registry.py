@@ -67,10 +67,28 @@ PRICE_COLUMNS = "source, commodity, market, observed_on::VARCHAR AS observed_on,
 MID = dt.date(2024, 1, 16)
 
 
-@query(f"SELECT {PRICE_COLUMNS} FROM ({b.OBSERVATIONS_SQL}) WHERE NOT unavailable ORDER BY observed_on, commodity, market LIMIT 50 OFFSET 100")
+@query(f"SELECT {PRICE_COLUMNS} FROM ({b.OBSERVATIONS_SQL}) WHERE NOT unavailable ORDER BY observed_on, commodity, market, source LIMIT 50 OFFSET 100")
 def observations_page(spark, sf):
     found = pages.observations(b.observations(spark, sf))
-    return pages.page(found, ["observed_on", "commodity", "market"], PageRequest(50, 100))
+    return pages.page(found, pages.OBSERVATION_ORDER, PageRequest(50, 100))
+
+
+@query(f"SELECT {PRICE_COLUMNS} FROM ({b.SHIPMENTS_SQL}) WHERE NOT unavailable ORDER BY observed_on, commodity, market, source LIMIT 200 OFFSET 50")
+def observations_sought(spark, sf):
+    """Four pages, each sought from the last row of the one before, after a first one of fifty."""
+    found, last, rows = pages.observations(b.shipments(spark, sf)), None, []
+    for size in (50, 50, 50, 50, 50):
+        some = pages.seek(found, pages.OBSERVATION_ORDER, last, size).collect()  # a page
+        last, rows = some[-1] if some else last, [*rows, *some]
+    return spark.createDataFrame(rows[50:], found.schema)
+
+
+@query(f"SELECT {PRICE_COLUMNS}, (SELECT count(*) FROM ({b.OBSERVATIONS_SQL}) WHERE NOT unavailable) AS total FROM ({b.OBSERVATIONS_SQL}) WHERE NOT unavailable ORDER BY observed_on, commodity, market, source LIMIT 50 OFFSET 100")
+def observations_page_and_total(spark, sf):
+    """A page and the number of all rows, by one job."""
+    found = pages.observations(b.observations(spark, sf))
+    rows, total = pages.page_and_total(found, pages.OBSERVATION_ORDER, PageRequest(50, 100))
+    return spark.createDataFrame(rows, found.schema).withColumn("total", F.lit(total).cast("long"))
 
 
 @query(f"SELECT {PRICE_COLUMNS} FROM ({b.OBSERVATIONS_SQL}) WHERE commodity = 'click' AND observed_on BETWEEN DATE '2024-01-05' AND DATE '2024-01-16' AND NOT unavailable")
@@ -433,7 +451,7 @@ def fetch_once(spark, sf):
     return rawstore.to_fetch(named, rawstore.manifest_of(p.filter("page_id % 2 = 0"))).select("page_id", "target")
 
 
-@query("""SELECT o_orderkey AS page_id, strftime(o_orderdate, '%Y-%m-%d') AS observed_on, row_number() OVER (PARTITION BY o_orderdate::DATE ORDER BY o_orderkey) AS file_seq
+@query("""SELECT o_orderkey AS page_id, strftime(o_orderdate, '%Y-%m-%d') AS observed_on, row_number() OVER (ORDER BY o_orderdate::DATE, o_orderkey) AS file_seq
 FROM orders WHERE o_orderdate::DATE >= DATE '1998-07-06'""")
 def lookback_entries(spark, sf):
     o = b.table(spark, sf, "orders")

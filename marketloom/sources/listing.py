@@ -129,6 +129,13 @@ def counters(judged: DataFrame) -> DataFrame:
 
 
 def lookback(judged: DataFrame, today: dt.date, days: int = 14) -> DataFrame:
-    """Entries to reconcile, oldest first, ties in page order. Files dated in the future stay in."""
+    """Entries to reconcile, oldest first, ties in page order, numbered from 1 over all days. Files dated in the future stay in.
+
+    A day's entries are numbered within the day; how many come before it follows from a count a day, so no task has all entries.
+    """
     kept = judged.filter(F.col("reason").isNull() & (F.col("observed_on") >= F.lit(today - dt.timedelta(days=days))))
-    return kept.withColumn("file_seq", F.row_number().over(Window.partitionBy("observed_on").orderBy("page_id", "position"))).orderBy("observed_on", "file_seq")
+    before = Window.partitionBy().orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    counts = kept.groupBy(F.col("observed_on").alias("day")).agg(F.count("*").alias("n")).select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = kept.withColumn("_k", F.row_number().over(Window.partitionBy("observed_on").orderBy("page_id", "position")))
+    out = within.join(counts, within["observed_on"] == counts["day"]).withColumn("file_seq", F.col("before") + F.col("_k"))
+    return out.drop("day", "before", "_k").orderBy("file_seq")
