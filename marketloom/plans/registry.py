@@ -190,8 +190,8 @@ SELECT commodity, market, observed_on::VARCHAR AS observed_on, average, CASE WHE
 FROM u {'WHERE is_anomaly OR is_impossible' if flagged else ''}"""
 
 
-def _flagged(facts: DataFrame, config: RobustConfig, only: bool) -> DataFrame:
-    out = robust.anomalies(robust.flag_series(facts, config), only)
+def _flagged(facts: DataFrame, config: RobustConfig, only: bool, chunk: int | None = None) -> DataFrame:
+    out = robust.anomalies(robust.flag_series(facts, config, chunk=chunk), only)
     return out.select("commodity", "market", "observed_on", "average", F.round("score", 6).alias("score"), "is_anomaly", "is_impossible")
 
 
@@ -200,6 +200,12 @@ def anomalies_default(spark, sf):
     return _flagged(b.observations(spark, sf), RobustConfig(), True)
 
 
+@query(_anomaly_sql(b.SHIPMENTS_SQL, 7, 3.0, True))
+def anomalies_in_chunks(spark, sf):
+    """Series in chunks of a few points, as long ones would be."""
+    return _flagged(b.shipments(spark, sf), RobustConfig(window=7, threshold=3.0), True, chunk=7)
+
+
 @query(_anomaly_sql(b.OBSERVATIONS_SQL, 5, 2.0, True))
 def anomalies_w5_t2(spark, sf):
     return _flagged(b.observations(spark, sf), RobustConfig(window=5, threshold=2.0), True)
