@@ -21,9 +21,11 @@ def per_source(sources: DataFrame, runs: DataFrame) -> DataFrame:
     return out.withColumn("success_rate", F.when(F.col("runs") > 0, F.col("succeeded") / F.col("runs"))).orderBy("slug")
 
 
-def per_stage(quarantine: DataFrame) -> DataFrame:
-    """Quarantined rows per stage; the example is the least reason in binary order."""
-    return quarantine.groupBy("stage").agg(F.count("*").alias("rows"), F.min("reason").alias("example_reason")).orderBy(F.desc("rows"), "stage")
+def per_stage(quarantine: DataFrame, locale: str | None = None) -> DataFrame:
+    """Quarantined rows per stage; the example is the least reason in binary order, or in that of a locale."""
+    reason = F.col("reason")
+    least = F.min(reason) if locale is None else F.min(F.struct(F.collate(reason, locale).alias("shown"), reason.alias("plain")))["plain"]
+    return quarantine.groupBy("stage").agg(F.count("*").alias("rows"), least.alias("example_reason")).orderBy(F.desc("rows"), "stage")
 
 
 def quarantined_total(quarantine: DataFrame) -> DataFrame:
@@ -42,3 +44,10 @@ def totals(observations: DataFrame) -> DataFrame:
 def null_rate(observations: DataFrame) -> DataFrame:
     """Share of observations of each commodity that have no average (an extension)."""
     return observations.groupBy("commodity").agg(F.count("*").alias("observations"), F.avg(F.col("average").isNull().cast("double")).alias("null_rate"))
+
+
+def coverage(commodities: DataFrame, observations: DataFrame) -> DataFrame:
+    """How many commodities are seeded, and how many have been observed at all."""
+    zero = F.lit(0).cast("long")
+    counts = commodities.agg(F.count("*").alias("seeded"), zero.alias("observed")).union(observations.agg(zero, F.countDistinct("commodity")))
+    return counts.agg(F.sum("seeded").alias("seeded"), F.sum("observed").alias("observed"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.dates import read_date
 from ..operators import ingest, movers, pages, quality, resolve, robust, state
-from ..schemas import COLUMN_HEADER, RobustConfig, TABLES
+from ..schemas import COLUMN_HEADER, PageRequest, RobustConfig, TABLES
 from ..sources import listing, rawstore, sheets
 from . import bridge as b
 from .registry import PRICE_COLUMNS, query
@@ -329,3 +329,38 @@ def index_dated_entries(spark, sf):
     made = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://h.example/list/page.html").alias("url"), html.alias("html"))
     judged = listing.entries(listing.candidates(listing.anchors(made), r"\.pdf"))
     return judged.select("target", "times", "observed_on", "date_source", "is_revision", "month_was_corrected", "reason")
+
+
+_WORDS = r"""SELECT DISTINCT lang, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents WHERE text IS NOT NULL"""
+
+
+def _words(spark, sf) -> DataFrame:
+    d = b.table(spark, sf, "documents").filter("text is not null")
+    return d.select("lang", F.explode(F.expr(r"regexp_extract_all(text, '\\p{L}+', 0)")).alias("word")).distinct()
+
+
+@query(f"SELECT DISTINCT word FROM ({_WORDS}) WHERE lang = 'fr' ORDER BY word COLLATE FR, word LIMIT 300 OFFSET 1500")
+def words_in_french_order(spark, sf):
+    """A page of the words of all French texts, as a French reader would look them up."""
+    words = _words(spark, sf).filter("lang = 'fr'").select("word").distinct()
+    return pages.page(words, pages.in_locale(["word"], "fr"), PageRequest(300, 1500))
+
+
+@query(f"SELECT lang AS stage, count(*) AS rows, arg_min(word, k) AS example_reason FROM (SELECT *, row_number() OVER (ORDER BY word COLLATE DE, word) AS k FROM ({_WORDS})) GROUP BY lang")
+def stages_in_german_order(spark, sf):
+    """The least word of each language in German order, as the example of a stage would be."""
+    return quality.per_stage(_words(spark, sf).select(F.col("lang").alias("stage"), F.col("word").alias("reason")), "de")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_custkey FROM orders), e AS (SELECT o_custkey AS target, min(o_orderkey) AS first, count(*) AS times FROM o GROUP BY o_custkey)
+SELECT sum(times)::BIGINT AS candidates, sum(times - 1)::BIGINT AS duplicates, count(*) FILTER (target % 6 <> 0) AS entries, count(*) FILTER (target % 6 = 0) AS rejected, count(*) FILTER (target % 6 = 0) / count(*) AS rejection_rate FROM e""")
+def index_counters(spark, sf):
+    """What a scrape says of itself: every order links its customer's file, and every sixth file has no date."""
+    o = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("target"), F.col("o_orderkey").alias("page_id"), F.lit(0).alias("position"), F.lit("").alias("link_text"))
+    judged = listing.first_sightings(o).withColumn("reason", F.when(F.col("target") % 6 == 0, "no date"))
+    return listing.counters(judged)
+
+
+@query(f"""SELECT (SELECT count(*) FROM ({b.COMMODITIES_SQL})) AS seeded, (SELECT count(DISTINCT commodity) FROM ({b.SHIPMENTS_SQL}) WHERE market % 3 = 0) AS observed""")
+def commodities_seeded_and_observed(spark, sf):
+    return quality.coverage(b.commodities(spark, sf), b.shipments(spark, sf).filter("market % 3 = 0"))
