@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import NATURAL_KEY, STATUSES, TABLES
+from ..storage import passing
 from . import state
 
 CHAIN = TABLES["price_observations"].replace("ingested_at", "at") + ", kind string, superseded_at timestamp"
@@ -247,10 +248,11 @@ def run_ingest(store: Store, run: Run, read: Callable[[], tuple[DataFrame, DataF
         return store.commit(tables={"runs": run.row(spark, "failed", started, started, str(e))})
     known = dims["markets"].select("id", "region_psgc_code", "name", "municipality")
     dims = dims | {"markets": known.unionByName(store.markets().join(known.select("id"), "id", "left_anti"))}
-    done = ingest.ingest(cells, headers, store.around, dims, run.source, run.run_id, today, now)
+    with passing(spark):  # parsed and resolved rows, which the commit has read when it is published
+        done = ingest.ingest(cells, headers, store.around, dims, run.source, run.run_id, today, now)
 
-    def closing(new: Commit) -> DataFrame:
-        summary = ingest.run_summary(done, store.written(new, "prices"), store.written(new, "quarantine"))
-        return run.row(spark, "succeeded", started, started, counts=summary.withColumn("files_fetched", F.col("files_seen")))
+        def closing(new: Commit) -> DataFrame:
+            summary = ingest.run_summary(done, store.written(new, "prices"), store.written(new, "quarantine"))
+            return run.row(spark, "succeeded", started, started, counts=summary.withColumn("files_fetched", F.col("files_seen")))
 
-    return store.commit(done.upsert.chain, {"quarantine": store.fresh_quarantine(done.quarantine, run.run_id), "markets": done.markets}, closing, now=now)
+        return store.commit(done.upsert.chain, {"quarantine": store.fresh_quarantine(done.quarantine, run.run_id), "markets": done.markets}, closing, now=now)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import state
 from ..operators.store import Store, quarantine_id
-from ..storage import stored
+from ..storage import passing, stored
 
 
 def daily_prices(events: DataFrame, lateness: str = "14 days") -> DataFrame:
@@ -43,6 +43,7 @@ class Upserter:
         store = Store(batch.sparkSession, self.path)
         if store.head().writers.get(self.writer, -1) >= batch_id:
             return
-        batch = stored(batch, "micro-batch")  # read for its months, its kinds and its late repeats
-        tables = {"quarantine": quarantine_id(self.held(batch))} if self.held else None
-        store.commit(state.upsert(store.around(batch), batch).chain, tables, writer=self.writer, batch=batch_id)
+        with passing(batch.sparkSession):
+            batch = stored(batch, "micro-batch")  # read for its months, its kinds and its late repeats
+            tables = {"quarantine": quarantine_id(self.held(batch))} if self.held else None
+            store.commit(state.upsert(store.around(batch), batch).chain, tables, writer=self.writer, batch=batch_id)
