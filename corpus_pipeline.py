@@ -60,8 +60,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage stores on its way is deleted when its result has been written; the last one's result is the caller's to write."""
     docs = common.documents(common.prepared(spark), sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        with common.passing(spark):
+            docs = common.stored(stage(spark, docs, sf_dir), name, lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)

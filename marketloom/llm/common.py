@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, stored  # noqa: F401  the operators take them from here
+from ..storage import passing, shared_dir, stored  # noqa: F401  the operators take them from here
 
 #: Texts are handed to numpy in slices of at most this many bytes (one longer text is one slice).
 SLICE_BYTES = 1 << 20

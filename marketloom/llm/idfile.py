@@ -1,12 +1,13 @@
 """Token ids in files of patched frame-of-reference blocks, in ascending doc_id order.
 
-``write`` range-partitions the documents by doc_id, encodes them and stores records of about
-RECORD_IDS ids: the packed ids (see ``pfor``) with the documents' ids and lengths. Spark's Parquet
+``write`` range-partitions the documents by doc_id, and rows that share one by their text, encodes
+them and stores records of about RECORD_IDS ids: the packed ids (see ``pfor``) with the documents' ids and lengths. Spark's Parquet
 writer is the container, so files commit atomically and are readable in any store; part and record
 numbers give the order. ``read_documents`` unpacks record by record.
 
 Cases: null and empty texts hold the end id alone; rows that share a doc_id stand next to each
-other, by text; null doc_ids come first; other columns are not stored; an empty table gives no records.
+other, by text (by its first HEAD characters, then its hash, so that one id with many rows is dealt to many partitions and no long text is
+among the bounds of ranges), and only rows equal in both always share a partition; null doc_ids come first; other columns are not stored; an empty table gives no records.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import column, documents, partitions, prepared, shared_dir, slices
 
 END_ID = 2
 RECORD_IDS = 1 << 19
+#: Characters of a text that order rows of one doc_id before its hash does.
+HEAD = 64
 RECORD = pa.schema([("part", pa.int32()), ("record", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 RECORD_DDL = "part int, record int, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
 
@@ -61,7 +64,8 @@ def _records(path: str, end_id: int):
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode and write all documents to the folder ``path``."""
-    spread = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.left("text", F.lit(HEAD)), F.xxhash64("text")]
+    spread = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
     spread.mapInArrow(_records(tokenizer, end_id), RECORD_DDL).write.parquet(path)
 
 

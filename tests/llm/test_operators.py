@@ -233,6 +233,27 @@ def test_counts_and_files_as_the_library(spark, texts, hand, tmp_path):
     assert [(r.doc_id, r.start, r.n_tokens) for r in idfile.read_documents(spark, f"file://{tmp_path}/hand").orderBy("start").collect()] == want
 
 
+def test_rows_of_one_id_are_dealt_to_many_files(spark, tmp_path):
+    """A third of all rows, or all, may have one id: they are split, and still numbered in one order."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(JSON)
+    same_head = "h" * idfile.HEAD
+    rows = [(i if i % 3 else None, f"{i} text") for i in range(300)] + [(500, f"{same_head}{i}") for i in range(300)] + [(600, "equal")] * 50
+    idfile.write(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/hot", JSON)
+    parts = spark.read.parquet(f"file://{tmp_path}/hot").select("part", F.explode("doc_ids").alias("d"))
+    spread = {r.d: r.n for r in parts.groupBy("d").agg(F.countDistinct("part").alias("n")).filter("n > 1").collect()}
+    assert 500 in spread and 600 not in spread
+    got = idfile.read_documents(spark, f"file://{tmp_path}/hot").orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    want = sorted((d or -1, zlib.crc32(np.array(lib.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())) for d, t in rows)
+    assert sorted((r.doc_id or -1, r.ids_crc32) for r in got) == want
+
+
 def test_chunks_join_to_the_whole():
     from tokenizers import Tokenizer
 

@@ -96,4 +96,8 @@ def test_odd_rows_and_clashing_columns(spark, name, stage):
 
 
 def test_run_is_the_stages(spark):
-    assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    out = corpus_pipeline.run(spark, SF)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    # What stages before the last have stored on their way is gone, and the result does not need it.
+    assert not [n for n in os.listdir(common.shared_dir(spark).removeprefix("file://").removeprefix("file:")) if n.startswith("passing-")]
+    assert out.filter("n_tokens > 0").count() > 0
