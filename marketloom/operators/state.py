@@ -51,20 +51,24 @@ def collapse_duplicates(batch: DataFrame, order: str = "position", key: tuple[st
     conflicts: the key, how many rows it is about (the first, and all from the first disagreement on). counts: one row with the
     number of rows, of those of disputed keys, and of disputed keys. ``order`` is unique within a key.
     """
-    # Rows are counted by key and figures before any of them moves, so a key with many equal rows is one row of each task.
-    rest = [c for c in batch.columns if c not in key]
-    kinds = batch.groupBy(*key, figures().alias("_figures")).agg(F.min(order).alias("_at"), F.min_by(F.struct(*rest), order).alias("_row"), F.count("*").alias("_n"))
-    by_first = Window.partitionBy(*key).orderBy("_at")
-    ranked = kinds.withColumns({"_k": F.row_number().over(by_first), "_split": F.lead("_at").over(by_first)})
-    disputed = (F.col("_k") > 1) | F.col("_split").isNotNull()
-    settled = ranked.filter(~disputed).select(*key, "_row.*").select(*batch.columns)
-    # All rows with other figures come after the split; of those with the first figures it has to be looked up.
-    again = ranked.filter("_k = 1 and _split is not null").select(*key, F.col("_figures").alias("_first"), "_split")
-    late = batch.join(again, list(key)).filter(figures().eqNullSafe(F.col("_first")) & (F.col(order) > F.col("_split"))).select(*key, F.lit(1).cast("long").alias("_n"))
-    other = ranked.filter(disputed).select(*key, F.when(F.col("_k") > 1, F.col("_n")).otherwise(1).alias("_n"))
-    conflicts = other.union(late).groupBy(*key).agg(F.sum("_n").alias("rows_rejected"))
-    count = lambda c: F.coalesce(F.sum(F.when(disputed, c)), F.lit(0))
-    counts = ranked.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), count(F.col("_n")).alias("disputed"), count(F.when(F.col("_k") == 1, 1).otherwise(0)).alias("conflicts"))
+    # A key is one row of each task before anything moves, however many rows it has. Settled rows and counts read the same columns
+    # of ``keys``, so that a plan with both has one exchange for them; the rest of a row is an aggregate of its own, which goes where nobody reads it.
+    rest = [c for c in batch.columns if c not in (*key, *FIGURE_COLUMNS, order)]
+    first = F.min(F.struct(F.col(order).alias("at"), figures().alias("figures"))).alias("_first")
+    whole = [F.min_by(F.struct(*rest), order).alias("_rest")] if rest else []
+    keys = batch.groupBy(*key).agg(first, F.min(figures()).alias("_low"), F.max(figures()).alias("_high"), F.count("*").alias("_n"), *whole)
+    keys = keys.filter("_n > 0 and _first is not null").withColumn("_disputed", ~F.col("_low").eqNullSafe(F.col("_high")))
+    fields = {order: "_first.at"} | {c: f"_first.figures.{c}" for c in FIGURE_COLUMNS} | {c: f"_rest.{c}" for c in rest}
+    settled = keys.filter(~F.col("_disputed")).select(*[F.col(fields.get(c, c)).alias(c) for c in batch.columns])
+    # All rows from the first disagreement on, which comes after the first row, are looked up among those of disputed keys. A key is one struct,
+    # in which nulls are equal. Neither side is broadcast: stored prices make much smaller files than rows.
+    whole_key = F.struct(*key).alias("_key")
+    again = keys.filter("_disputed").select(whole_key, F.col("_first.figures").alias("_figures"))
+    split = F.min(F.when(~figures().eqNullSafe(F.col("_figures")), F.col(order))).over(Window.partitionBy("_key"))
+    late = batch.select(whole_key, *FIGURE_COLUMNS, order).hint("shuffle_merge").join(again, "_key").withColumn("_split", split).filter(F.col(order) >= F.col("_split"))
+    conflicts = late.groupBy("_key").agg((F.count("*") + 1).alias("rows_rejected")).select("_key.*", "rows_rejected")
+    sums = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("_disputed"), F.col("_n"))), F.lit(0)), F.count_if("_disputed")
+    counts = keys.agg(*[c.alias(name) for c, name in zip(sums, ("rows", "disputed", "conflicts"))])
     return Collapsed(settled, conflicts, counts)
 
 
