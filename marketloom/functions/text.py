@@ -58,11 +58,14 @@ def normalise_unit(c: Column) -> Column:
 def read_amount(c: Column) -> Column:
     """struct(value decimal(12,2), error string): null for blank cells, an error for what is no single amount."""
     lines = F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda x: collapse(x) != "")
-    plain = F.regexp_replace(collapse(F.get(lines, F.lit(0))), ",", "")
-    value = F.when((F.size(lines) == 1) & plain.rlike(AMOUNT), plain.try_cast("decimal(12,2)"))
+    broken = F.coalesce(F.contains(c, F.lit("\n")), F.lit(False))  # a cell of one line, as most are, is not split
+    plain = F.replace(F.when(broken, collapse(F.get(lines, F.lit(0)))).otherwise(collapse(c)), F.lit(","), F.lit(""))
+    several = F.when(broken, F.size(lines) > 1).otherwise(F.lit(False))
+    blank = F.when(broken, F.size(lines) == 0).otherwise(collapse(c) == "")
+    value = F.when(plain.rlike(AMOUNT) & ~several, plain.try_cast("decimal(12,2)"))
     error = (
-        F.when(F.size(lines) == 0, F.lit(None))
-        .when(F.size(lines) > 1, F.concat(F.lit("several values in one cell: "), c))
+        F.when(blank, F.lit(None))
+        .when(several, F.concat(F.lit("several values in one cell: "), c))
         .when(value.isNull(), F.concat(F.lit("not a number: "), c))
     )
     return F.struct(value.alias("value"), error.alias("error"))
@@ -71,9 +74,9 @@ def read_amount(c: Column) -> Column:
 def field_for(label: Column) -> Column:
     """The header field whose label begins with this text, of six characters at least; null if none or several do."""
     key = F.lower(collapse(label))
-    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.lit(v.lower()).alias("label")) for k, v in HEADER_LABELS.items()])
-    fit = F.filter(fields, lambda f: f["label"].startswith(key))
-    return F.when((F.length(key) >= 6) & (F.size(fit) == 1), F.get(fit, F.lit(0))["field"])
+    fit = {k: F.startswith(F.lit(v.lower()), key) for k, v in HEADER_LABELS.items()}
+    times = sum((f.cast("int") for f in fit.values()), F.lit(0))
+    return F.when((F.length(key) >= 6) & (times == 1), F.coalesce(*[F.when(f, F.lit(k)) for k, f in fit.items()]))
 
 
 def canonical_url(c: Column) -> Column:
